@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skytally.llm import leakage
+from skytally.llm import abuse, leakage, mixing
 from skytally.session import prepare
 from skytally.sources.tables import table
 
@@ -19,5 +19,33 @@ def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.removal_spans(leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_spans)}
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark = prepare(spark)
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark = prepare(spark)
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark = prepare(spark)
+    documents = table(spark, sf_dir, "documents")
+    return abuse.score_pages(documents, abuse.fit_on_labels(documents, table(spark, sf_dir, "doc_labels")))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).where("flagged").select("doc_id")
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir)
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(_scored(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p7_found, p7_spans, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
 SQL: dict[str, str] = {}
