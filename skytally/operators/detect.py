@@ -63,8 +63,8 @@ def confusion(flag: Column, truth: Column) -> list[Column]:
 
 
 def rates(df: DataFrame) -> DataFrame:
-    """precision, recall, f1 and fpr from the four counts; 0 where undefined."""
+    """prec (precision), recall, f1 and fpr from the four counts; 0 where undefined."""
     z = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
-    df = df.withColumns({"precision": z(tp, tp + fp), "recall": z(tp, tp + fn), "fpr": z(fp, fp + tn)})
-    return df.withColumn("f1", z(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    df = df.withColumns({"prec": z(tp, tp + fp), "recall": z(tp, tp + fn), "fpr": z(fp, fp + tn)})
+    return df.withColumn("f1", z(2 * F.col("prec") * F.col("recall"), F.col("prec") + F.col("recall")))

@@ -125,10 +125,10 @@ def one_hour_fill(df: DataFrame, key: str, at: str, value: str) -> DataFrame:
 
 
 def gap_metrics(df: DataFrame, key: list[str], truth: str, fill: str) -> DataFrame:
-    """n, mae, rmse, bias, largest error, correlation (three points or more) and shift of the mean."""
+    """n, mae, rmse, bias, largest error, correlation (of three points or more that vary) and shift of the mean."""
     e = F.col(fill) - F.col(truth)
     return df.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"),
         F.max(F.abs(e)).alias("max_abs"),
-        F.when((F.count(F.lit(1)) >= 3) & (F.stddev_pop(truth) > 1e-9) & (F.stddev_pop(fill) > 1e-9), F.corr(truth, fill)).alias("corr"),
+        F.when(F.count(F.lit(1)) >= 3, F.try_divide(F.covar_pop(truth, fill), F.stddev_pop(truth) * F.stddev_pop(fill))).alias("corr"),
         (F.avg(fill) - F.avg(truth)).alias("mean_shift"))

