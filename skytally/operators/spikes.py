@@ -17,6 +17,8 @@ BOUNDS = {"ppm": (200.0, 2000.0), "ppb": (800.0, 10000.0)}
 CENTRE_HALF = 6
 #: Readings on each side of the rolling scale, which is taken at every SCALE_STEP-th reading.
 SCALE_HALF, SCALE_STEP = 512, 64
+#: The scale is at least this share of the usual step between neighbours.
+STEP_SHARE = 0.5
 #: A spike stands at least so many robust standard deviations off, for at most so many readings.
 THRESHOLD, MAX_SPIKE = 11.5, 4
 #: Equal readings in a row that count as stuck.
@@ -34,17 +36,29 @@ def _rolling_median(x: np.ndarray, half: int) -> np.ndarray:
     return np.median(sliding_window_view(padded, 2 * half + 1), axis=1)
 
 
-def _rolling_scale(r: np.ndarray) -> np.ndarray:
-    """Rolling 1.4826 x median |r| on a stride; each reading takes the nearest stride point."""
-    n, a = len(r), np.abs(r)
+def _rolling_mad(a: np.ndarray) -> np.ndarray:
+    """Rolling 1.4826 x median of distances on a stride; each reading takes the nearest stride point."""
+    n = len(a)
     if n <= 2 * SCALE_HALF + 1:
         return np.full(n, 1.4826 * np.median(a)) if n else a
-    at = np.arange(SCALE_HALF, n - SCALE_HALF, SCALE_STEP)
     s = 1.4826 * np.median(sliding_window_view(a, 2 * SCALE_HALF + 1)[::SCALE_STEP], axis=1)
-    nearest = np.clip(np.rint((np.arange(n) - SCALE_HALF) / SCALE_STEP).astype(int), 0, len(at) - 1)
+    nearest = np.clip(np.rint((np.arange(n) - SCALE_HALF) / SCALE_STEP).astype(int), 0, len(s) - 1)
     return s[nearest]
 
 
+def _rolling_scale(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Usual scatter around the course, but not under a share of the usual step.
+
+    On a smooth slope the median of a window is its middle reading, so distances alone
+    would call a steady course scatter-free.
+    """
+    s = _rolling_mad(np.abs(x - centre))
+    if len(x) > 1:
+        step = np.abs(np.diff(x))
+        s = np.maximum(s, STEP_SHARE * _rolling_mad(np.r_[step[:1], step]))
+    return np.maximum(s, 1e-9)
+
+
 def _runs(same: np.ndarray) -> np.ndarray:
     """Length of the run that each element belongs to; same[i]: i continues the run of i-1."""
     ids = np.cumsum(~same) - 1
@@ -63,7 +77,7 @@ def hampel_block(us: np.ndarray, row_id: np.ndarray, value: np.ndarray, lo: np.n
         last = np.r_[pu[1:] != pu[:-1], True]  # of one instant's deliveries the last stands for it
         x = pv[last]
         c = _rolling_median(x, CENTRE_HALF)
-        s = np.maximum(_rolling_scale(x - c), 1e-9)
+        s = _rolling_scale(x, c)
         far = np.abs(x - c) > THRESHOLD * s
         far &= _runs(np.r_[False, far[1:] == far[:-1]]) <= MAX_SPIKE
         instant = np.cumsum(np.r_[True, pu[1:] != pu[:-1]]) - 1
