@@ -71,7 +71,7 @@ def select_ranks(values: DataFrame, wanted: DataFrame) -> DataFrame:
     answers: list[DataFrame] = []
     for _ in range(MAX_ROUNDS):
         small = ranges.where(F.col("size") <= SETTLE_ROWS)
-        answers.append(_settle(values, small))
+        answers.append(cut(_settle(values, small)))
         ranges = ranges.where(F.col("size") > SETTLE_ROWS)
         if ranges.isEmpty():
             break
@@ -99,7 +99,7 @@ def select_ranks(values: DataFrame, wanted: DataFrame) -> DataFrame:
         high = split.select("gid", F.col("high_ranks").alias("ranks"), F.col("pivot").alias("lower"), "upper", F.col("after").alias("below"), F.col("size_more").alias("size"))
         ranges = cut(low.unionByName(high).where(F.size("ranks") > 0).withColumn("range_id", _range_id("gid", "lower")))
     else:
-        answers.append(_settle(values, ranges))
+        answers.append(cut(_settle(values, ranges)))
     out = answers[0]
     for a in answers[1:]:
         out = out.unionByName(a)
