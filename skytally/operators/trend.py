@@ -46,9 +46,14 @@ def sen_interval(df: DataFrame, key: list[str], mo: str, value: str) -> DataFram
         F.median("s").alias("slope"), F.max(F.when(F.col("r") == F.col("lo"), F.col("s"))).alias("low"), F.max(F.when(F.col("r") == F.col("hi"), F.col("s"))).alias("high"))
 
 
-@F.pandas_udf("double")
-def two_sided_p(z: pd.Series) -> pd.Series:
-    return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)) if x == x else float("nan"))
+def two_sided_p(z: str) -> Column:
+    """Two-sided normal p of a z column; null stays null."""
+
+    @F.pandas_udf("double")
+    def p(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if v == v else None)
+
+    return p(z)
 
 
 def seasonal_kendall(df: DataFrame, key: list[str], mo: str, value: str, least: int = 10) -> DataFrame:
