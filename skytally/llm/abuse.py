@@ -66,6 +66,7 @@ class Model:
         gain = np.zeros(n, np.float32)
         for order in ORDERS:
             gain += self.weight[features(symbols, order)]
+        gain[symbols == 0] = 0  # the gap between pages
         ends = np.cumsum(lengths)
         starts = ends - lengths
         page = np.repeat(np.arange(len(lengths)), lengths)
