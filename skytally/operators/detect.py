@@ -44,7 +44,7 @@ def iqr_hour(df: DataFrame, key: str, at: str, value: str, k: float) -> DataFram
     d = df.select(key, at, value).withColumn("hod", hour_of_day(at))
     q = d.groupBy(key, "hod").agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
     lo, hi = F.col("q")[0], F.col("q")[1]
-    wide = k * 0.5 * (hi - lo)
+    wide = k * 0.5 * (hi - lo) + FLOOR  # equal to the limit is inside, whatever the last bit of a quartile
     return d.join(q, [key, "hod"]).select(key, at, value, ((F.col(value) < lo - wide) | (F.col(value) > hi + wide)).alias("flag"))
 
 

@@ -291,7 +291,7 @@ def h12_hampel(spark, sf_dir):
 
 
 @query(f"""with {HOURLY}, q as (select *, quantile_cont(v, 0.25) over ({_HOD}) a, quantile_cont(v, 0.75) over ({_HOD}) b from hourly)
-select record_id, h from q where v < a - 3 * 0.5 * (b - a) or v > b + 3 * 0.5 * (b - a)""")
+select record_id, h from q where v < a - 3 * 0.5 * (b - a) - 1e-9 or v > b + 3 * 0.5 * (b - a) + 1e-9""")
 def h13_iqr_hour(spark, sf_dir):
     return detect.flags(hourly(spark, sf_dir), "record_id", "h", "v", "iqr_hour", 3.0).where("flag").select("record_id", "h")
 
@@ -523,7 +523,7 @@ def _score_sql() -> str:
     parts = []
     for k in (3, 4, 5):
         parts.append(f"select 'seasonal_mad k={k}' as configuration, record_id, h, abs(r) > {k} * greatest(1.4826 * s, 1e-9) as flag from c3")
-        parts.append(f"select 'iqr_hour k={k}', record_id, h, v < qa - {k} * 0.5 * (qb - qa) or v > qb + {k} * 0.5 * (qb - qa) from q3")
+        parts.append(f"select 'iqr_hour k={k}', record_id, h, v < qa - {k} * 0.5 * (qb - qa) - 1e-9 or v > qb + {k} * 0.5 * (qb - qa) + 1e-9 from q3")
     return f"""{HOURLY}, bad as (select record_id, epoch_us(timestamp_utc) // 3600000000 as h, bool_or(not coalesce(qc_valid, false)) as truth from obs_parsed where timestamp_utc is not null group by 1, 2),
 a3 as (select *, v - median(v) over ({_HOD}) r from hourly), b3 as (select *, abs(r - median(r) over ({_HOD})) as dev from a3), c3 as (select *, median(dev) over ({_HOD}) s from b3),
 q3 as (select *, quantile_cont(v, 0.25) over ({_HOD}) qa, quantile_cont(v, 0.75) over ({_HOD}) qb from hourly), fl as ({' union all '.join(parts)}),
