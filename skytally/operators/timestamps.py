@@ -67,13 +67,13 @@ def with_components(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("_parts", split).withColumn("_parts", F.when(F.size("_parts") == len(GROUPS), F.col("_parts")))
 
 
-def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add columns that later filters and projections read instead of repeating.
+def fixed(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Rename a column so that later filters read its value.
 
-    The optimiser copies the text of a projected expression into whatever uses it; behind
-    a generator it stays one value.
+    The optimiser would copy the whole text of the expression into a filter on it; behind a
+    generator it stays one value.
     """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+    return df.select("*", F.inline(F.array(F.struct(F.col(column).alias(out)))))
 
 
 def parse_instants(df: DataFrame, text: str, offset_hours: str, date_order: str, out: str = "instant_us") -> DataFrame:
@@ -88,7 +88,8 @@ def parse_instants(df: DataFrame, text: str, offset_hours: str, date_order: str,
     time, an unknown zone, or a missing offset or date order where one is needed give null.
     """
     p = lambda g: F.get("_parts", F.lit(GROUPS.index(g)))
-    n = lambda g: p(g).try_cast("long")  # noqa: E731  # an empty group is no number
+    # the pattern leaves digits or nothing; try_cast would throw and catch on every empty group
+    n = lambda g: F.nullif(p(g), F.lit("")).cast("long")
     df = with_components(df, text)
     named = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(p("nmo"), 1, 3)))
     dmy = F.upper(F.col(date_order)) == "DMY"
@@ -96,14 +97,14 @@ def parse_instants(df: DataFrame, text: str, offset_hours: str, date_order: str,
     mo = F.coalesce(n("cmo"), n("imo"), F.when(n("oy").isNotNull(), F.lit(1)),
                     F.when(dmy, n("sb")).when(~dmy, n("sa")), named)
     d = F.coalesce(n("cd"), n("id"), n("od"), F.when(dmy, n("sa")).when(~dmy, n("sb")), n("nd"))
-    df = once(df, {"_y": y, "_mo": mo, "_d": d, "_h": F.coalesce(n("ch"), n("h")), "_mi": F.coalesce(n("cmi"), n("mi")),
+    df = df.withColumns({"_y": y, "_mo": mo, "_d": d, "_h": F.coalesce(n("ch"), n("h")), "_mi": F.coalesce(n("cmi"), n("mi")),
                          "_s": F.coalesce(n("s"), F.lit(0)), "_ap": F.coalesce(F.lower(p("ap")), F.lit("")),
                          "_f": F.coalesce(F.rpad(F.substring(p("f"), 1, 6), 6, "0").cast("long"), F.lit(0)),
                          "_z": F.nullif(p("z"), F.lit("")), "_yd": n("oy").isNotNull(),
                          "_clock": F.coalesce(n("ms") * 1000, n("sec") * 1_000_000)}).drop("_parts")
     hour = (F.when(F.col("_ap") == "", F.col("_h"))
             .when(F.col("_h").between(1, 12), F.col("_h") % 12 + F.when(F.col("_ap") == "p", 12).otherwise(0)))
-    df = once(df, {"_hour": hour})
+    df = df.withColumns({"_hour": hour})
     year_days = F.when(F.col("_yd"), 337 + month_length(F.col("_y"), F.lit(2)))
     sound = (
         F.col("_y").between(1, 9999) & F.col("_mo").between(1, 12) & (F.col("_d") >= 1)
@@ -111,19 +112,19 @@ def parse_instants(df: DataFrame, text: str, offset_hours: str, date_order: str,
         & (F.col("_mi") < 60) & (F.col("_s") < 60)
         & ((F.col("_hour") < 24) | ((F.col("_hour") == 24) & (F.col("_mi") == 0) & (F.col("_s") == 0) & (F.col("_f") == 0))))
     wall_s = days_from_civil(F.col("_y"), F.col("_mo"), F.col("_d")) * 86400 + F.col("_hour") * 3600 + F.col("_mi") * 60 + F.col("_s")
-    df = once(df, {"_wall": F.when(sound, wall_s)})
+    df = df.withColumns({"_wall": F.when(sound, wall_s)})
     z = F.col("_z")
     digits = F.translate(z, ":", "")
     signed = F.when(z.rlike(r"^[+-]\d"), (F.substring(digits, 2, 2).cast("long") * 3600 + F.substring(digits, 4, 2).cast("long") * 60)
                     * F.when(z.startswith("-"), -1).otherwise(1))
     short = F.element_at(F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv]), F.lower(z))
-    df = once(df, {"_zone_s": F.coalesce(signed, short), "_region": F.when(z.isin(zone_names()), z)})
+    df = df.withColumns({"_zone_s": F.coalesce(signed, short), "_region": F.when(z.isin(zone_names()), z)})
     by_region = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(F.col("_wall") * 1_000_000), F.coalesce("_region", F.lit("UTC"))))
     local = (F.col("_wall") + F.round(F.col(offset_hours) * 3600).cast("long")) * 1_000_000
     instant = F.coalesce("_clock", F.col("_f") + (
         F.when(z.isNull(), local).when(F.col("_zone_s").isNotNull(), (F.col("_wall") - F.col("_zone_s")) * 1_000_000)
         .when(F.col("_region").isNotNull(), by_region)))
-    return once(df, {out: instant}).drop("_y", "_mo", "_d", "_h", "_mi", "_s", "_f", "_ap", "_hour", "_wall", "_z", "_yd", "_clock", "_zone_s", "_region")
+    return fixed(df.withColumn("_instant", instant), "_instant", out).drop("_instant", "_y", "_mo", "_d", "_h", "_mi", "_s", "_f", "_ap", "_hour", "_wall", "_z", "_yd", "_clock", "_zone_s", "_region")
 
 
 def normalise_times(incoming: DataFrame, layout: DataFrame) -> DataFrame:

@@ -98,7 +98,7 @@ def alias_dictionary(spellings: DataFrame, column: str) -> DataFrame:
     """Distinct spellings with the unit they mean: (column, unit_code, cost).
 
     Character n-grams of the distinct spellings meet those of ALIASES through an inverted
-    index (an equi-join on the gram); pairs that share a third of their grams are verified
+    index (an equi-join on the gram); pairs that share half of their grams are verified
     by weighted edit distance and the cheapest within MAX_COST_SHARE wins, ties by unit.
     Spellings that match nothing are absent.
     """
@@ -120,7 +120,7 @@ def alias_dictionary(spellings: DataFrame, column: str) -> DataFrame:
            .withColumn("_p", prepare(column)).select(column, "_p.folded", "_p.grams").where("folded <> ''"))
     hits = own.select(column, "folded", F.size("grams").alias("own_grams"), F.explode("grams").alias("gram")).join(F.broadcast(index), "gram")
     pairs = (hits.groupBy(column, "folded", "own_grams", "alias", "unit_code", "alias_grams").agg(F.count(F.lit(1)).alias("shared"))
-             .where(F.col("shared") * 3 >= F.greatest("own_grams", "alias_grams")))
+             .where(F.col("shared") * 2 >= F.greatest("own_grams", "alias_grams")))
     scored = pairs.withColumn("cost", cost("folded", "alias")).where(F.col("cost") <= F.lit(MAX_COST_SHARE) * F.length("folded"))
     return (scored.groupBy(column).agg(F.min(F.struct("cost", "unit_code")).alias("best"))
             .select(column, F.col("best.unit_code").alias("unit_code"), F.col("best.cost").alias("cost")))
