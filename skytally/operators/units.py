@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skytally.operators.skew import join_dimension
+from skytally.session import cut
 
 #: Mole fraction that one of the unit is.
 SCALE = {"mol/mol": 1.0, "%": 1e-2, "mmol/mol": 1e-3, "umol/mol": 1e-6, "nmol/mol": 1e-9, "pmol/mol": 1e-12}
@@ -112,10 +113,13 @@ def alias_dictionary(spellings: DataFrame, column: str) -> DataFrame:
         folded = s.map(fold)
         return pd.DataFrame({"folded": folded, "grams": folded.map(grams)})
 
+    prepare = prepare.asNondeterministic()  # else filters and projections each run it again
+
     @F.pandas_udf("double")
     def cost(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([edit_cost(x, y, MAX_COST_SHARE * len(x)) for x, y in zip(a, b)], dtype=float)
 
+    cost = cost.asNondeterministic()
     own = (spellings.where(F.col(column).isNotNull() & (F.length(column) <= MAX_UNIT_CHARS)).select(column).distinct()
            .withColumn("_p", prepare(column)).select(column, "_p.folded", "_p.grams").where("folded <> ''"))
     hits = own.select(column, "folded", F.size("grams").alias("own_grams"), F.explode("grams").alias("gram")).join(F.broadcast(index), "gram")
@@ -133,8 +137,9 @@ def remark_dictionary(remarks: DataFrame) -> DataFrame:
     def windows(s: pd.Series) -> pd.Series:
         return s.map(lambda t: [{"at": i, "words": k, "piece": w} for i, (k, w) in enumerate(unit_windows(t))])
 
-    pieces = (remarks.where("remark is not null").select("remark").distinct()
-              .withColumn("w", F.explode(windows("remark"))).select("remark", "w.at", "w.words", "w.piece"))
+    windows = windows.asNondeterministic()
+    pieces = cut(remarks.where("remark is not null").select("remark").distinct()
+                 .withColumn("_w", windows("remark")).select("remark", F.inline("_w")))
     known = alias_dictionary(pieces.select("piece"), "piece")
     order = Window.partitionBy("remark").orderBy("cost", F.desc("words"), "at")
     return (pieces.join(known, "piece").withColumn("rn", F.row_number().over(order)).where("rn = 1")
