@@ -18,7 +18,7 @@ def cell(x):
     if isinstance(x, bool) or type(x).__name__ == "bool":
         return str(bool(x))
     try:
-        return f"{float(x) + 0.0:.9g}"
+        return f"{float(x) + 0.0:.7g}"
     except (TypeError, ValueError):
         return str(x)
 
