@@ -133,7 +133,7 @@ def load_lines(raw: DataFrame, layout: DataFrame) -> DataFrame:
     number = lambda c: F.when(at(c).rlike(DECIMAL), at(c).try_cast("double"))
     sound_numbers = F.lit(True)
     for c in NUMERIC:
-        sound_numbers = sound_numbers & (~has(c) | F.coalesce(number(c).isNotNull() & ~F.isnan(number(c)) & (F.abs(number(c)) < float("inf")), F.lit(False)))
+        sound_numbers = sound_numbers & (~has(c) | F.coalesce(F.abs(number(c)) < float("inf"), F.lit(False)))
     reason = (F.when(F.col("ignored"), None).when(F.col("columns").isNull(), "no layout").when(F.col("broken"), "broken quoting")
               .when(~right_count, "field count").when(~F.coalesce(sound_clock, F.lit(False)), "clock").when(~sound_numbers, "number"))
     judged = split.withColumn("reason", reason)
