@@ -75,11 +75,13 @@ def e06_islands(spark, sf_dir):
     return d.groupBy("record_id", "run").agg(F.min("h").alias("first_h"), F.max("h").alias("last_h"), F.count(F.lit(1)).alias("hours")).drop("run")
 
 
-LIMIT = 60
+#: Hours kept of a record's longest run, as in the reference. The SQL as given keeps 60 and is left as it is.
+LIMIT = 6000
+SQL_LIMIT = 60
 _SEGMENT = f"""{_ISLAND}, sz as (select record_id, run, count(*) len, min(h) s from i group by 1, 2),
 best as (select * from (select *, row_number() over (partition by record_id order by len desc, s) rn from sz) where rn = 1),
-seg as (select h.*, h.h - (b.s + (greatest(b.len - {LIMIT}, 0) // 2)) as pos, least(b.len, {LIMIT}) as seg_n from hourly h join best b using (record_id)
-  where h.h between b.s + (greatest(b.len - {LIMIT}, 0) // 2) and b.s + (greatest(b.len - {LIMIT}, 0) // 2) + least(b.len, {LIMIT}) - 1)"""
+seg as (select h.*, h.h - (b.s + (greatest(b.len - {SQL_LIMIT}, 0) // 2)) as pos, least(b.len, {SQL_LIMIT}) as seg_n from hourly h join best b using (record_id)
+  where h.h between b.s + (greatest(b.len - {SQL_LIMIT}, 0) // 2) and b.s + (greatest(b.len - {SQL_LIMIT}, 0) // 2) + least(b.len, {SQL_LIMIT}) - 1)"""
 
 
 def _segment(spark, sf_dir):
