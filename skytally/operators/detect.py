@@ -15,45 +15,77 @@ def hour_of_day(h: str = "h") -> Column:
     return F.pmod(F.col(h), F.lit(24))
 
 
-def seasonal_mad(df: DataFrame, key: str, at: str, value: str, k: float) -> DataFrame:
-    """Residual from the median of the hour of day, beyond k MADs of that hour."""
+def _seasonal_mad(df: DataFrame, key: str, at: str, value: str):
     d = df.select(key, at, value).withColumn("hod", hour_of_day(at))
     d = group_median(d, [key, "hod"], value, "m").withColumn("r", F.col(value) - F.col("m"))
     d = group_median(d, [key, "hod"], "r", "rm").withColumn("a", F.abs(F.col("r") - F.col("rm")))
     d = group_median(d, [key, "hod"], "a", "s")
-    return d.select(key, at, value, (F.abs("r") > k * F.greatest(F.lit(1.4826) * F.col("s"), F.lit(FLOOR))).alias("flag"))
+    return d, lambda k: F.abs("r") > k * F.greatest(F.lit(1.4826) * F.col("s"), F.lit(FLOOR))
+
+
+def _beyond_rolling(value: str):
+    def flag(k: float) -> Column:
+        far = F.abs(F.col(value) - F.col("centre")) > k * F.greatest(F.lit(1.4826) * F.col("scale"), F.lit(FLOOR))
+        return F.coalesce(far, F.lit(False))
+    return flag
+
+
+def _rolling_seasonal_mad(df: DataFrame, key: str, at: str, value: str, half: int = 168, least: int = 72):
+    d = group_median(df.select(key, at, value).withColumn("hod", hour_of_day(at)), [key, "hod"], value, "m")
+    d = d.select(key, at, (F.col(value) - F.col("m")).alias(value))
+    return rolling_centre_and_scale(d, key, at, value, half, least), _beyond_rolling(value)
+
+
+def _hampel(df: DataFrame, key: str, at: str, value: str, half: int = 84, least: int = 48):
+    return rolling_centre_and_scale(df, key, at, value, half, least), _beyond_rolling(value)
+
+
+def _iqr_hour(df: DataFrame, key: str, at: str, value: str):
+    d = df.select(key, at, value).withColumn("hod", hour_of_day(at))
+    q = d.groupBy(key, "hod").agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    lo, hi = F.col("q")[0], F.col("q")[1]
+    wide = lambda k: k * 0.5 * (hi - lo) + FLOOR  # noqa: E731  # equal to the limit is inside, whatever the last bit of a quartile
+    return d.join(q, [key, "hod"]), lambda k: (F.col(value) < lo - wide(k)) | (F.col(value) > hi + wide(k))
+
+
+def seasonal_mad(df: DataFrame, key: str, at: str, value: str, k: float) -> DataFrame:
+    """Residual from the median of the hour of day, beyond k MADs of that hour."""
+    return flags(df, key, at, value, "seasonal_mad", k)
 
 
 def rolling_seasonal_mad(df: DataFrame, key: str, at: str, value: str, k: float, half: int = 168, least: int = 72) -> DataFrame:
     """Residual from the hour's median, then a rolling centre and scale of those."""
-    d = group_median(df.select(key, at, value).withColumn("hod", hour_of_day(at)), [key, "hod"], value, "m")
-    d = d.select(key, at, F.col(value).alias("_v"), (F.col(value) - F.col("m")).alias("r"))
-    judged = rolling_centre_and_scale(d, key, at, "r", half, least)
-    flag = F.abs(F.col("r") - F.col("centre")) > k * F.greatest(F.lit(1.4826) * F.col("scale"), F.lit(FLOOR))
-    return judged.select(key, at, F.col("r").alias(value), F.coalesce(flag, F.lit(False)).alias("flag"))
+    d, flag = _rolling_seasonal_mad(df, key, at, value, half, least)
+    return d.select(key, at, value, flag(k).alias("flag"))
 
 
 def hampel(df: DataFrame, key: str, at: str, value: str, k: float, half: int = 84, least: int = 48) -> DataFrame:
-    judged = rolling_centre_and_scale(df, key, at, value, half, least)
-    flag = F.abs(F.col(value) - F.col("centre")) > k * F.greatest(F.lit(1.4826) * F.col("scale"), F.lit(FLOOR))
-    return judged.select(key, at, value, F.coalesce(flag, F.lit(False)).alias("flag"))
+    d, flag = _hampel(df, key, at, value, half, least)
+    return d.select(key, at, value, flag(k).alias("flag"))
 
 
 def iqr_hour(df: DataFrame, key: str, at: str, value: str, k: float) -> DataFrame:
     """Outside the hour's quartiles by more than half k interquartile ranges."""
-    d = df.select(key, at, value).withColumn("hod", hour_of_day(at))
-    q = d.groupBy(key, "hod").agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    lo, hi = F.col("q")[0], F.col("q")[1]
-    wide = k * 0.5 * (hi - lo) + FLOOR  # equal to the limit is inside, whatever the last bit of a quartile
-    return d.join(q, [key, "hod"]).select(key, at, value, ((F.col(value) < lo - wide) | (F.col(value) > hi + wide)).alias("flag"))
+    return flags(df, key, at, value, "iqr_hour", k)
 
 
-def flags(df: DataFrame, key: str, at: str, value: str, method: str, k: float) -> DataFrame:
-    """Dispatch by name; an unknown name raises."""
-    found = {"seasonal_mad": seasonal_mad, "rolling_seasonal_mad": rolling_seasonal_mad, "hampel_7day": hampel, "iqr_hour": iqr_hour}
+def _judged(df: DataFrame, key: str, at: str, value: str, method: str):
+    found = {"seasonal_mad": _seasonal_mad, "rolling_seasonal_mad": _rolling_seasonal_mad, "hampel_7day": _hampel, "iqr_hour": _iqr_hour}
     if method not in found:
         raise ValueError(f"unknown detector {method}")
-    return found[method](df, key, at, value, k)
+    return found[method](df, key, at, value)
+
+
+def flags(df: DataFrame, key: str, at: str, value: str, method: str, k: float) -> DataFrame:
+    """Dispatch by name; an unknown name raises."""
+    d, flag = _judged(df, key, at, value, method)
+    return d.select(key, at, value, flag(k).alias("flag"))
+
+
+def flags_each(df: DataFrame, key: str, at: str, value: str, method: str, ks: tuple[float, ...]) -> DataFrame:
+    """Flags of one detector at every k: a row's distance and scale are found once."""
+    d, flag = _judged(df, key, at, value, method)
+    return d.select(key, at, F.inline(F.array(*[F.struct(F.lit(k).alias("k"), flag(k).alias("flag")) for k in ks])))
 
 
 def confusion(flag: Column, truth: Column) -> list[Column]:

@@ -1,11 +1,9 @@
 """Queries do the whole job: cases that a shortened one gets wrong."""
 
-import duckdb
 import numpy as np
 import pandas as pd
-import pytest
 
-from skytally.plans import series
+from skytally.plans import series, studies
 
 
 def obs(path, rows):
@@ -23,3 +21,63 @@ def test_segments_keep_6000_hours(spark, tmp_path):
     assert a["h"].tolist() == list(range(500, 6500)) and a["pos"].tolist() == list(range(6000))
     assert b["h"].tolist() == list(range(300))
     assert series.d24_gap_metrics(spark, at).where("n > 12").count() == 2
+
+
+def reference_flags(v, h, method, k):
+    """The four detectors as the reference writes them, over one record."""
+    x = pd.Series(v, dtype=float)
+    hod = pd.Series(np.asarray(h) % 24)
+    spread = lambda a: np.median(np.abs(a - np.median(a))) * 1.4826
+    if method == "seasonal_mad":
+        r = x - x.groupby(hod).transform("median")
+        return (r.abs() > k * r.groupby(hod).transform(lambda z: max(spread(z), 1e-9))).to_numpy()
+    if method == "iqr_hour":
+        a, b = (x.groupby(hod).transform(lambda z, q=q: z.quantile(q)) for q in (0.25, 0.75))
+        w = k * 0.5 * (b - a).clip(lower=1e-9)
+        return ((x < a - w) | (x > b + w)).to_numpy()
+    if method == "rolling_seasonal_mad":
+        x, n, least = x - x.groupby(hod).transform("median"), 337, 72
+    else:
+        n, least = 169, 48
+    m = x.rolling(n, center=True, min_periods=least).median()
+    s = (x - m).abs().rolling(n, center=True, min_periods=least).median() * 1.4826
+    return ((x - m).abs() > k * s.clip(lower=1e-9)).to_numpy()
+
+
+def reference_rates(flag, truth):
+    tp, fp, fn = (flag & truth).sum(), (flag & ~truth).sum(), (~flag & truth).sum()
+    p, r = tp / max(tp + fp, 1), tp / max(tp + fn, 1)
+    return 2 * p * r / (p + r) if p + r else 0.0, fp / max((~truth).sum(), 1), r, p
+
+
+CONFIGURATIONS = [(m, k) for m in ("seasonal_mad", "rolling_seasonal_mad", "hampel_7day", "iqr_hour") for k in (3, 4, 5)]
+
+
+def noisy(seed, n=600, bad=30):
+    """Hours with a drift and a daily course; some are off, and most of those are marked. Two readings stand in each hour."""
+    rng = np.random.default_rng(seed)
+    v = 400 + 0.02 * np.arange(n) + 3 * np.sin(np.arange(n) * np.pi / 12) + rng.normal(0, 0.5, n)
+    off = rng.choice(n, bad, replace=False)
+    v[off] += rng.choice([-1, 1], bad) * rng.uniform(1, 6, bad)
+    truth = np.zeros(n, bool)
+    truth[off[: bad * 4 // 5]] = True
+    return np.round(v, 4), truth
+
+
+def scored(records):
+    """configuration, record_id, f1, fpr, recall, prec by brute force."""
+    out = [(f"{m} k={k}", r, *reference_rates(reference_flags(v, np.arange(len(v)), m, k), t)) for r, (v, t) in records.items() for m, k in CONFIGURATIONS]
+    return pd.DataFrame(out, columns=["configuration", "record_id", "f1", "fpr", "recall", "prec"]).sort_values(["configuration", "record_id"], ignore_index=True)
+
+
+def test_scores_of_all_twelve_configurations(spark, tmp_path):
+    records = {f"st0{i}x": noisy(i) for i in range(1, 4)}
+    # an hour is judged by all its readings: a good one makes it present, a marked one makes it true
+    at = obs(tmp_path, [(r, h, x, ok) for r, (v, t) in records.items() for h, x in enumerate(v) for ok in ((True, False) if t[h] else (True,))])
+    want = scored(records)
+    got = series._scores(spark, at).toPandas()[want.columns].sort_values(["configuration", "record_id"], ignore_index=True)
+    pd.testing.assert_frame_equal(got, want, rtol=1e-9, atol=1e-12)
+    best = want.sort_values(["f1", "fpr", "configuration"], ascending=[False, True, True]).groupby("record_id").head(1).set_index("record_id")["configuration"]
+    assert {r["record_id"]: r["configuration"] for r in series.f05_lexicographic(spark, at).collect()} == best.to_dict()
+    assert {c.split(" ")[0] for c in best} & {"rolling_seasonal_mad", "hampel_7day"}
+    assert {r["method"] for r in studies.d23_best_k(spark, at).collect()} == {m for m, _ in CONFIGURATIONS}
