@@ -9,17 +9,35 @@ from skytally.functions.columns import month_days, month_ordinal
 from skytally.session import prepare
 from skytally.sources.tables import good_reading, table
 
-#: Mole fractions outside this range are left out of the views, whatever their unit.
+#: Values at or below this mean "no value", as in the reference.
+SENTINEL = -999.0
+#: Range of the SQL as given, which is left as it is; the views have none.
 LOW, HIGH = 200.0, 10000.0
 
 
+def _hour():
+    return F.floor(F.unix_micros("timestamp_utc") / 3_600_000_000).cast("long").alias("h")
+
+
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(record_id, gas, h, v, n): mean of an hour's good readings; h counts hours since 1970."""
-    obs = table(prepare(spark), sf_dir, "obs_parsed").where(good_reading() & F.col("value").between(LOW, HIGH))
-    return (obs.groupBy("record_id", F.when(F.col("unit") == "ppm", "CO2").otherwise("CH4").alias("gas"), F.floor(F.unix_micros("timestamp_utc") / 3_600_000_000).cast("long").alias("h"))
+    obs = table(prepare(spark), sf_dir, "obs_parsed").where(good_reading() & (F.col("value") > SENTINEL))
+    return (obs.groupBy("record_id", F.when(F.col("unit") == "ppm", "CO2").otherwise("CH4").alias("gas"), _hour())
             .agg(F.round(F.avg("value"), 7).alias("v"), F.count(F.lit(1)).alias("n")))
 
 
+def judged_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record_id, h, v, truth): mean of an hour's numeric readings, whatever the provider says of them, and whether one of the hour's readings isn't good.
+
+    v is null where an hour has no numeric reading. Such an hour isn't good, and no detector can flag it.
+    """
+    value = F.col("value")
+    number = value.isNotNull() & ~F.isnan(value) & (value > SENTINEL)
+    obs = table(prepare(spark), sf_dir, "obs_parsed").where("timestamp_utc is not null and record_id is not null")
+    bad = ~F.coalesce(F.col("qc_valid") & number, F.lit(False))
+    return obs.groupBy("record_id", _hour()).agg(F.round(F.avg(F.when(number, value)), 7).alias("v"), F.bool_or(bad).alias("truth"))
+
+
 HOURLY = f"""hourly as (select record_id, case when unit = 'ppm' then 'CO2' else 'CH4' end as gas, epoch_us(timestamp_utc) // 3600000000 as h, round(avg(value), 7) as v, count(*) as n
   from obs_parsed where qc_valid and value is not null and not isnan(value) and timestamp_utc is not null and value between {LOW} and {HIGH}
   group by 1, 2, 3)"""

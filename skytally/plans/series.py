@@ -9,7 +9,7 @@ from skytally.functions.columns import hash_draw
 from skytally.operators import cohort, detect, fill, resample, trend
 from skytally.operators import rolling as roll
 from skytally.operators import sequences as seq
-from skytally.plans.domain import HOURLY, hourly, monthly, monthly_sql
+from skytally.plans.domain import HOURLY, hourly, judged_hours, monthly, monthly_sql
 from skytally.session import cut, prepare
 from skytally.sources.tables import table
 
@@ -299,11 +299,10 @@ def h13_iqr_hour(spark, sf_dir):
 
 
 def _review(spark, sf_dir):
-    """Hampel flags against the provider's own verdict, hour by hour."""
-    h = hourly(spark, sf_dir)
-    obs = table(prepare(spark), sf_dir, "obs_parsed").where("timestamp_utc is not null and record_id is not null")
-    bad = (obs.groupBy("record_id", F.floor(F.unix_micros("timestamp_utc") / 3_600_000_000).cast("long").alias("h")).agg(F.bool_or(~F.coalesce("qc_valid", F.lit(False))).alias("truth")))
-    return detect.hampel(h, "record_id", "h", "v", 3.0).join(bad, ["record_id", "h"], "left").withColumn("truth", F.coalesce("truth", F.lit(False)))
+    """Hampel flags against the provider's own verdict, hour by hour; an hour without a number has no flag."""
+    h = cut(judged_hours(spark, sf_dir))
+    found = detect.hampel(h.where("v is not null"), "record_id", "h", "v", 3.0).select("record_id", "h", "flag")
+    return h.join(found, ["record_id", "h"], "left").withColumn("flag", F.coalesce("flag", F.lit(False)))
 
 
 _REVIEW = f"""{HOURLY}, {_rolling_sql(84, 48)}, bad as (select record_id, epoch_us(timestamp_utc) // 3600000000 as h, bool_or(not coalesce(qc_valid, false)) as truth from obs_parsed where timestamp_utc is not null group by 1, 2),
@@ -507,13 +506,11 @@ def d17_hierarchy(spark, sf_dir):
 
 
 def _scores(spark, sf_dir):
-    """Detector results per configuration and record: every detector at k = 3, 4, 5 against the provider's verdict."""
-    h = cut(hourly(spark, sf_dir))
-    obs = table(prepare(spark), sf_dir, "obs_parsed").where("timestamp_utc is not null and record_id is not null")
-    bad = cut(obs.groupBy("record_id", F.floor(F.unix_micros("timestamp_utc") / 3_600_000_000).cast("long").alias("h")).agg(F.bool_or(~F.coalesce("qc_valid", F.lit(False))).alias("truth")))
+    """Detector results per configuration and record: every detector at k = 3, 4, 5 against the provider's verdict, over all hours with a number."""
+    h = cut(judged_hours(spark, sf_dir).where("v is not null"))
     out = None
     for method in detect.METHODS:
-        d = detect.flags_each(h, "record_id", "h", "v", method, (3.0, 4.0, 5.0)).join(bad, ["record_id", "h"], "left").withColumn("truth", F.coalesce("truth", F.lit(False)))
+        d = detect.flags_each(h, "record_id", "h", "v", method, (3.0, 4.0, 5.0)).join(h.select("record_id", "h", "truth"), ["record_id", "h"])
         d = detect.rates(d.groupBy("record_id", "k").agg(*detect.confusion(F.col("flag"), F.col("truth"))))
         d = d.select(F.concat(F.lit(f"{method} k="), F.col("k").cast("int").cast("string")).alias("configuration"), "record_id", "f1", "fpr", "recall", "prec")
         out = d if out is None else out.unionByName(d)

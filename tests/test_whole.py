@@ -81,3 +81,20 @@ def test_scores_of_all_twelve_configurations(spark, tmp_path):
     assert {r["record_id"]: r["configuration"] for r in series.f05_lexicographic(spark, at).collect()} == best.to_dict()
     assert {c.split(" ")[0] for c in best} & {"rolling_seasonal_mad", "hampel_7day"}
     assert {r["method"] for r in studies.d23_best_k(spark, at).collect()} == {m for m, _ in CONFIGURATIONS}
+
+
+def test_hours_with_only_bad_readings_are_judged(spark, tmp_path):
+    """Marked hours have no good reading beside them; some have no number; good values are outside 200..10000."""
+    records = {f"st0{i}x": noisy(10 + i) for i in range(1, 3)}
+    far = {r: (v - 399, t) for r, (v, t) in records.items()}
+    at = obs(tmp_path, [(r, h, x, not t[h]) for r, (v, t) in far.items() for h, x in enumerate(v)] + [("st01x", h, x, True) for h, x in ((600, np.nan), (601, -999.0), (602, -9999.0))])
+    want = scored(far)
+    got = series._scores(spark, at).toPandas()[want.columns].sort_values(["configuration", "record_id"], ignore_index=True)
+    pd.testing.assert_frame_equal(got, want, rtol=1e-9, atol=1e-12)
+    d16 = {r["record_id"]: r for r in series.d16_metrics(spark, at).collect()}
+    for r, (v, t) in far.items():
+        flag = reference_flags(v, np.arange(len(v)), "hampel_7day", 3)
+        extra = 3 if r == "st01x" else 0
+        assert (d16[r]["tp"], d16[r]["fp"], d16[r]["fn"]) == ((flag & t).sum(), (flag & ~t).sum(), (~flag & t).sum() + extra)
+        assert d16[r]["tp"] > 0
+    assert series.hourly(spark, at).count() == sum((~t).sum() for _, t in far.values())
