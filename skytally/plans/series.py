@@ -565,7 +565,10 @@ def d19_leave_one_out(spark, sf_dir):
     return best.join(held, ["fold", "configuration"])
 
 
-# J: resampling
+# J: resampling. Replicates as in the reference; the SQL as given has fewer, and regions as places, and is left as it is.
+
+BLOCKS = STATIONS = 5000
+TRENDS = COHORTS = RANKS = 2000
 
 _BOOT = """members as (select gas, method, row_number() over (partition by gas, method order by gap_hours) - 1 as draw, rmse as x, count(*) over (partition by gas, method) as size from cond),
 draws as (select gas, method, rep, slot, ('0x' || substr(sha256('block|' || gas || '|' || method || '|' || rep::varchar || '|' || slot::varchar), 1, 15))::bigint % size as draw
@@ -577,7 +580,7 @@ stats as (select gas, method, rep, median(x) as stat from draws join members usi
 select gas, method, count(*) as reps, size, round(case when size >= 3 then quantile_cont(stat, 0.025) end, 6) as low, round(case when size >= 3 then quantile_cont(stat, 0.975) end, 6) as high from stats join sz using (gas, method) group by gas, method, size""")
 def j05_block_bootstrap(spark, sf_dir):
     c = cut(_conditions(spark, sf_dir))
-    s = resample.bootstrap_statistic(c, ["gas", "method"], "gap_hours", "rmse", 100, "block", F.median("x"))
+    s = resample.bootstrap_statistic(c, ["gas", "method"], "gap_hours", "rmse", BLOCKS, "block", F.median("x"))
     size = c.groupBy("gas", "method").agg(F.count(F.lit(1)).alias("size"))
     d = resample.interval(s, ["gas", "method"], size, 3)
     return d.select("gas", "method", "reps", "size", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
@@ -591,13 +594,13 @@ dr as (select ch.*, rep, ('0x' || substr(sha256('trend|' || place || '|' || gas
 tg as (select pl.place, pl.gas, dr.rep, pl.mo, bl.s0 + pl.inside as src from pl join dr using (place, gas, run, chunk) join bl on bl.place = dr.place and bl.gas = dr.gas and bl.draw = dr.draw)
 select tg.place, tg.gas, tg.rep, tg.mo, round(dec.residual, 3) as sample from tg join dec on dec.place = tg.place and dec.gas = tg.gas and dec.mo = tg.src""")
 def j03_moving_block(spark, sf_dir):
-    r = cut(trend.decompose(monthly(spark, sf_dir, "region"), ["place", "gas"], "mo", "mean"))
-    d = resample.moving_block_sample(r, ["place", "gas"], "mo", "residual", 12, 20, "trend")
+    r = cut(trend.decompose(monthly(spark, sf_dir), ["place", "gas"], "mo", "mean"))
+    d = resample.moving_block_sample(r, ["place", "gas"], "mo", "residual", 12, TRENDS, "trend")
     return d.select("place", "gas", F.col("rep").cast("long").alias("rep"), "mo", F.round("sample", 3).alias("sample"))
 
 
-def _trend_bootstrap(spark, sf_dir, count: int = 20):
-    dec = cut(trend.decompose(monthly(spark, sf_dir, "region"), ["place", "gas"], "mo", "mean"))
+def _trend_bootstrap(spark, sf_dir, count: int = TRENDS):
+    dec = cut(trend.decompose(monthly(spark, sf_dir), ["place", "gas"], "mo", "mean"))
     sample = resample.moving_block_sample(dec, ["place", "gas"], "mo", "residual", 12, count, "trend")
     pseudo = sample.join(dec.select("place", "gas", "mo", (F.col("fitted") + F.col("seasonal")).alias("base")), ["place", "gas", "mo"]).withColumn("y", F.col("base") + F.col("sample"))
     return trend.sen_slope(pseudo, ["place", "gas", "rep"], "mo", "y", True), dec
@@ -619,10 +622,10 @@ def j07_cohort(spark, sf_dir):
     est = trend.sen_slope(dec, ["place", "gas"], "mo", "mean", True).select("place", "gas", F.col("slope").alias("estimate"))
     centred = slopes.withColumn("error", F.col("slope") - F.avg("slope").over(Window.partitionBy("place", "gas"))).select("place", "gas", F.col("rep").alias("inner"), "error")
     w = Window.partitionBy("gas").orderBy("place")
-    places = cut(est.withColumn("draw", (F.row_number().over(w) - 1).cast("long")))
+    places = cut(est.join(slopes.select("place", "gas").distinct(), ["place", "gas"], "left_semi").withColumn("draw", (F.row_number().over(w) - 1).cast("long")))
     size = places.groupBy("gas").agg(F.count(F.lit(1)).alias("size"))
-    draws = resample.replicates(size, "size", 50, "outer", F.col("gas"))
-    picked = draws.join(places, ["gas", "draw"]).withColumn("inner", hash_draw(20, "inner", F.col("gas"), F.col("rep").cast("string"), F.col("slot").cast("string")).cast("int"))
+    draws = resample.replicates(size, "size", COHORTS, "outer", F.col("gas"))
+    picked = draws.join(places, ["gas", "draw"]).withColumn("inner", hash_draw(TRENDS, "inner", F.col("gas"), F.col("rep").cast("string"), F.col("slot").cast("string")).cast("int"))
     both = picked.join(centred, ["place", "gas", "inner"])
     stat = both.groupBy("gas", "rep").agg(F.median(F.col("estimate") + F.col("error")).alias("stat"))
     d = resample.interval(stat, ["gas"])
@@ -636,11 +639,11 @@ r as (select gas, rep, rank() over (partition by gas, rep order by x) + (count(*
 c as (select gas, rep, corr(rx, ry) c from r group by 1, 2 having count(distinct rx) > 1 and count(distinct ry) > 1)
 select gas, count(*) as reps, round(quantile_cont(c, 0.025), 6) as low, round(quantile_cont(c, 0.975), 6) as high from c group by 1""")
 def j01_bootstrap_spearman(spark, sf_dir):
-    xy = monthly(spark, sf_dir, "region").groupBy("gas", "place").agg(F.avg("n").alias("x"), F.avg("mean").alias("y"))
+    xy = monthly(spark, sf_dir).groupBy("gas", "place").agg(F.avg("n").alias("x"), F.avg("mean").alias("y"))
     w = Window.partitionBy("gas").orderBy("place")
     mem = cut(xy.withColumn("draw", (F.row_number().over(w) - 1).cast("long")))
     size = mem.groupBy("gas").agg(F.count(F.lit(1)).alias("size"))
-    s = resample.replicates(size, "size", 200, "spearman", F.col("gas")).join(mem, ["gas", "draw"])
+    s = resample.replicates(size, "size", RANKS, "spearman", F.col("gas")).join(mem, ["gas", "draw"])
     live = s.groupBy("gas", "rep").agg(F.countDistinct("x").alias("dx"), F.countDistinct("y").alias("dy")).where("dx > 1 and dy > 1").select("gas", "rep")
     c = seq.spearman(s.join(live, ["gas", "rep"]), ["gas", "rep"], "x", "y").withColumnRenamed("rho", "stat")
     d = resample.interval(c, ["gas"])
@@ -670,7 +673,7 @@ def j11_placements(spark, sf_dir):
 @query(f"""with {_COND}, {_BOOT}, d as (select gas, method, count(*)::double n, avg(stat) m, median(stat) md, stddev_samp(stat) sd, skewness(stat) sk, kurtosis(stat) ku from stats group by 1, 2)
 select gas, method, round(m, 6) as mean, round(md, 6) as median, round(sd, 6) as sd, round(case when sd > 1e-12 then sk end, 5) as skew, round(case when sd > 1e-12 then ku end, 4) as excess from d""")
 def d36_diagnose(spark, sf_dir):
-    s = resample.bootstrap_statistic(cut(_conditions(spark, sf_dir)), ["gas", "method"], "gap_hours", "rmse", 100, "block", F.median("x"))
+    s = resample.bootstrap_statistic(cut(_conditions(spark, sf_dir)), ["gas", "method"], "gap_hours", "rmse", BLOCKS, "block", F.median("x"))
     g = s.groupBy("gas", "method").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("stat").alias("m"), F.median("stat").alias("md"), F.stddev("stat").alias("sd"), F.skewness("stat").alias("g1"), F.kurtosis("stat").alias("g2"))
     n = F.col("n")
     skew = F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2)

@@ -160,7 +160,7 @@ select gas, method, round(max(est), 10) as estimate, round(quantile_cont(stat, 0
   round(max(est) - 1.959963984540054 * stddev_samp(stat), 6) as normal_low, round(max(est) + 1.959963984540054 * stddev_samp(stat), 6) as normal_high from stats join e using (gas, method) group by 1, 2""")
 def h09_intervals(spark, sf_dir):
     c = cut(s._conditions(spark, sf_dir))
-    stats = resample.bootstrap_statistic(c, ["gas", "method"], "gap_hours", "rmse", 100, "block", F.median("x"))
+    stats = resample.bootstrap_statistic(c, ["gas", "method"], "gap_hours", "rmse", s.BLOCKS, "block", F.median("x"))
     est = c.groupBy("gas", "method").agg(F.median("rmse").alias("est"))
     d = trend.percentile_interval(stats.join(est, ["gas", "method"]), ["gas", "method"], "stat", F.col("est"))
     return d.select("gas", "method", F.round("estimate", 10).alias("estimate"), *[F.round(c, 6).alias(c) for c in ("low", "high", "basic_low", "basic_high", "normal_low", "normal_high")])
@@ -187,7 +187,7 @@ def j06_station_bootstrap(spark, sf_dir):
     fold = s._scores(spark, sf_dir).groupBy(F.substring("record_id", 1, 4).alias("station"), "configuration").agg(F.avg("f1").alias("f1"), F.avg("fpr").alias("fpr"))
     mem = cut(fold.withColumn("draw", (F.row_number().over(Window.partitionBy("configuration").orderBy("station")) - 1).cast("long")))
     size = mem.groupBy("configuration").agg(F.count(F.lit(1)).alias("size"))
-    st = resample.replicates(size, "size", 50, "station").join(mem, ["configuration", "draw"]).groupBy("configuration", "rep").agg(F.avg("f1").alias("f1"), F.avg("fpr").alias("fpr"))
+    st = resample.replicates(size, "size", s.STATIONS, "station").join(mem, ["configuration", "draw"]).groupBy("configuration", "rep").agg(F.avg("f1").alias("f1"), F.avg("fpr").alias("fpr"))
     p = lambda c, q: F.round(F.percentile(c, F.lit(q)), 7)
     return st.groupBy("configuration").agg(F.count(F.lit(1)).alias("reps"), p("f1", 0.025).alias("f1_low"), p("f1", 0.975).alias("f1_high"), p("fpr", 0.025).alias("fpr_low"), p("fpr", 0.975).alias("fpr_high"))
 
@@ -212,7 +212,7 @@ def j08_block_inference(spark, sf_dir):
     key = ["gas", "gap_hours", "kind", "who"]
     block = F.floor(F.date_diff("run_day", F.lit("2022-01-01").cast("date")) / 30)
     wk = cut(meth.unionByName(pairs).groupBy(*key, block.alias("block")).agg(F.median("x").alias("x")))
-    stats = resample.bootstrap_statistic(wk, key, "block", "x", 40, "inference", F.median("x"))
+    stats = resample.bootstrap_statistic(wk, key, "block", "x", s.BLOCKS, "inference", F.median("x"))
     size = wk.groupBy(*key).agg(F.count(F.lit(1)).alias("size"))
     out = resample.interval(stats, key, size, 3)
     return out.select(*key, "size", F.when(F.col("size") < 3, "TOO_FEW_BLOCKS").otherwise("INTERVAL").alias("status"), F.round(F.col("low") + 1.2345e-9, 7).alias("low"), F.round(F.col("high") + 1.2345e-9, 7).alias("high"))

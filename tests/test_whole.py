@@ -1,7 +1,10 @@
 """Queries do the whole job: cases that a shortened one gets wrong."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
+import pytest
 
 from skytally.plans import series, studies
 
@@ -98,3 +101,32 @@ def test_hours_with_only_bad_readings_are_judged(spark, tmp_path):
         assert (d16[r]["tp"], d16[r]["fp"], d16[r]["fn"]) == ((flag & t).sum(), (flag & ~t).sum(), (~flag & t).sum() + extra)
         assert d16[r]["tp"] > 0
     assert series.hourly(spark, at).count() == sum((~t).sum() for _, t in far.values())
+
+
+def test_block_bootstrap_has_5000_replicates(spark, tmp_path):
+    x = [0.5, 0.7, 1.1, 1.9, 3.2]
+    pd.DataFrame({"gas": "CO2", "gap_hours": [1, 3, 6, 12, 24], "method": "linear", "median_rmse": x, "median_mae": x}).to_parquet(tmp_path / "gap_method_summary.parquet")
+    draw = lambda rep, slot: int(hashlib.sha256(f"block|CO2|linear|{rep}|{slot}".encode()).hexdigest()[:15], 16) % 5
+    stat = [np.median([x[draw(rep, slot)] for slot in range(5)]) for rep in range(5000)]
+    r = series.j05_block_bootstrap(spark, str(tmp_path)).collect()[0]
+    assert r["reps"] == 5000 and (r["low"], r["high"]) == pytest.approx(np.percentile(stat, [2.5, 97.5]))
+    d = series.d36_diagnose(spark, str(tmp_path)).collect()[0]
+    assert (d["mean"], d["sd"]) == pytest.approx((np.mean(stat), np.std(stat, ddof=1)), abs=1e-6)
+
+
+def test_places_are_nations_and_replicates_2000(spark, tmp_path):
+    """Three nations of one region with three years of monthly orders."""
+    rng = np.random.default_rng(3)
+    at = [(c, f"{1994 + m // 12}-{m % 12 + 1:02d}-05") for c in range(3) for m in range(36)]
+    price = np.round(1000 + rng.normal(0, 50, len(at)), 2)
+    tables = {
+        "orders": pd.DataFrame({"o_custkey": [c for c, _ in at], "o_orderstatus": "F", "o_orderdate": pd.to_datetime([d for _, d in at]).date, "o_totalprice": price}),
+        "customer": pd.DataFrame({"c_custkey": range(3), "c_nationkey": range(3)}), "nation": pd.DataFrame({"n_nationkey": range(3), "n_name": list("XYZ"), "n_regionkey": 0}),
+        "region": pd.DataFrame({"r_regionkey": [0], "r_name": ["R"]}),
+    }
+    for name, d in tables.items():
+        d.to_parquet(tmp_path / f"{name}.parquet")
+    r = series.j03_moving_block(spark, str(tmp_path)).selectExpr("count(distinct place) places", "count(distinct rep) reps", "count(*) n").collect()[0]
+    assert (r["places"], r["reps"], r["n"]) == (3, 2000, 3 * 36 * 2000)
+    c = series.j07_cohort(spark, str(tmp_path)).collect()[0]
+    assert c["reps"] == 2000 and c["low"] < c["high"]
