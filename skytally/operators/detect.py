@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skytally.operators.rolling import group_median, rolling_centre_and_scale
 
 FLOOR = 1e-9
+KS = (3.0, 4.0, 5.0)
 METHODS = ("seasonal_mad", "rolling_seasonal_mad", "hampel_7day", "iqr_hour")
 
 

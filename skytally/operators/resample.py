@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +75,41 @@ def inject_spikes(df: DataFrame, key: list[str], pos: str, value: str, share: in
     return d.withColumns({"truth": truth, "injected": F.col(value) + F.when(truth, sign * 10 * size).otherwise(0.0)}).drop("_n", "_h", "_r")
 
 
+#: Events of the reference: rows changed at once, scales added, margins before and after a start, least count.
+EVENTS = {
+    "positive_spikes": (1, 10.0, 50, 50), "negative_spikes": (1, -10.0, 50, 50),
+    "positive_shift": (6, 6.0, 100, 110), "negative_shift": (6, -6.0, 100, 110), "season_dependent_positive": (1, 8.0, 0, 0),
+}
+
+
+def inject_events(df: DataFrame, key: str, pos: str, h: str, value: str, repetitions: int, scope: str) -> DataFrame:
+    """Every event in every repetition, put into a copy of each key's series: key, event, repetition, pos, h, value, injected, truth.
+
+    n is a hundredth of the rows, 20 at least. Spikes and seasonal events stand at n positions, shifts begin
+    at max(3, n / 2), and where shifts overlap they add up. Positions come in hash order, inside the event's margins; the seasonal
+    event takes January, February, July and August. The scale is max(MAD of differences, MAD / 20, 1e-3).
+    A series without a position keeps its values and has no truth.
+    """
+    from skytally.operators.rolling import mad
+
+    rows = df.select(key, pos, h, value)
+    step = rows.withColumn("_d", F.col(value) - F.lag(value).over(Window.partitionBy(key).orderBy(pos)))
+    size = mad(rows, [key], value).withColumnRenamed("mad", "_m").join(mad(step, [key], "_d").withColumnRenamed("mad", "_s"), key, "left")
+    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.greatest(F.lit(20), F.floor(F.col("_n") / 100)))
+    rows = rows.join(n.join(size, key).withColumn("_scale", F.greatest(F.col("_s"), F.col("_m") * 0.05, F.lit(1e-3))).drop("_m", "_s"), key)
+    event = F.inline(F.array(*[F.struct(F.lit(e).alias("event"), F.lit(w).alias("_w"), F.lit(a).alias("_a"), F.lit(lo).alias("_lo"), F.lit(hi).alias("_hi")) for e, (w, a, lo, hi) in EVENTS.items()]))
+    d = rows.select("*", event).withColumn("repetition", F.explode(F.sequence(F.lit(1), F.lit(repetitions))))
+    month = F.month(F.timestamp_seconds(F.col(h) * 3600))
+    inside = (F.col(pos) >= F.col("_lo")) & (F.col(pos) < F.col("_n") - F.col("_hi")) & ((F.col("event") != "season_dependent_positive") | month.isin(1, 2, 7, 8))
+    most = F.when(F.col("_w") > 1, F.greatest(F.lit(3), F.floor(F.col("_k") / 2))).otherwise(F.col("_k"))
+    series = [key, "event", "repetition"]
+    d = d.withColumns({"_in": inside, "_h": F.sha2(F.concat_ws("|", F.lit(scope), key, "event", "repetition", pos), 256)})
+    d = d.withColumn("_start", (F.col("_in") & (F.row_number().over(Window.partitionBy(*series, "_in").orderBy("_h")) <= most)).cast("int"))
+    back = lambda k: F.sum("_start").over(Window.partitionBy(*series).orderBy(pos).rowsBetween(-k, 0))
+    d = d.withColumn("_hits", F.when(F.col("_w") > 1, back(5)).otherwise(F.col("_start")))
+    return d.select(*series, pos, h, value, (F.col(value) + F.col("_hits") * F.col("_a") * F.col("_scale")).alias("injected"), (F.col("_hits") > 0).alias("truth"))
+
+
 def disjoint_placements(df: DataFrame, key: list[str], pos: str, n: str, length: int, low: int, high: int, most: int, scope: str) -> DataFrame:
     """Up to ``most`` disjoint stretches per key: feasible starts in hash order, each kept if no kept one overlaps it.
 
@@ -91,3 +128,36 @@ def disjoint_placements(df: DataFrame, key: list[str], pos: str, n: str, length:
         left = marked.withColumn("near", F.max("take").over(w)).where(~F.col("near")).select(*key, "start", "h")
     order = Window.partitionBy(*key).orderBy("h")
     return kept.withColumn("placement", F.row_number().over(order)).where(F.col("placement") <= most).select(*key, "placement", "start")
+
+
+GAP_HOURS = (1, 3, 6, 12, 24, 48, 72)
+SEASONS = ("DJF", "MAM", "JJA", "SON")
+
+
+def season_placements(df: DataFrame, key: str, pos: str, h: str, scope: str, most: int = 20, low: int = 200, high: int = 300) -> DataFrame:
+    """Artificial gaps per key, season and length: key, season, gap_hours, placement, start, and h of the start.
+
+    Starts lie in the season, beyond ``low`` and before the last ``high`` rows. Placement 0 is the anchor, the middle one of them, at
+    least low rows and the gap before the end; 1.. are the first ``most`` others in hash order that overlap neither the anchor nor each
+    other. A key is one bounded segment (see sequences.longest_segment).
+    """
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(pos)
+        name, at, n = pdf[key].iloc[0], pdf[h].to_numpy(), len(pdf)
+        season = (pd.to_datetime(at * 3600, unit="s").month.to_numpy() % 12) // 3
+        out = []
+        for k, label in enumerate(SEASONS):
+            pool = np.flatnonzero(season == k)
+            pool = pool[(pool > low) & (pool < n - high)]
+            for length in GAP_HOURS if len(pool) else ():
+                kept = [min(int(pool[len(pool) // 2]), n - length - low)]
+                for q in sorted(pool.tolist(), key=lambda q, k=label, g=length: hashlib.sha256(f"{scope}|{name}|{k}|{g}|{q}".encode()).digest()):
+                    if len(kept) > most:
+                        break
+                    if all(abs(q - p) >= length for p in kept):
+                        kept.append(q)
+                out += [(name, label, length, i, q, int(at[q])) for i, q in enumerate(kept)]
+        return pd.DataFrame(out, columns=[key, "season", "gap_hours", "placement", "start", "h"])
+
+    types = dict(df.dtypes)
+    return df.select(key, pos, h).groupBy(key).applyInPandas(run, f"`{key}` {types[key]}, season string, gap_hours int, placement int, start long, h long")

@@ -255,19 +255,24 @@ def d24_gap_metrics(spark, sf_dir):
 
 @query()
 def j13_gap_evaluation(spark, sf_dir):
-    """All five fills of the same hidden hours, judged per record and method."""
-    g = cut(_gaps(spark, sf_dir).withColumn("hod", detect.hour_of_day()))
+    """All five fills of each of j11's gaps, judged per gap and method. Only one gap is hidden at a time."""
+    seg = cut(_segment(spark, sf_dir))
+    gaps = cut(_placements(seg))
+    inside = (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + F.col("gap_hours"))
+    g = cut(seg.join(gaps.select("record_id", "gap_id", "start", "gap_hours"), "record_id").withColumn("hidden", inside)
+            .select("gap_id", "pos", "v", "hidden", F.when(~F.col("hidden"), F.col("v")).alias("known"), detect.hour_of_day().alias("hod")))
+    key = ["gap_id"]
     made = {
-        "linear": fill.linear(g, ["record_id"], "pos", "known"), "pchip": fill.pchip(g, ["record_id"], "pos", "known"),
-        "local_level_kalman": fill.local_level_kalman(g, ["record_id"], "pos", "known").drop("known").join(g, ["record_id", "pos"]),
-        "seasonal_median": fill.seasonal_median(g, ["record_id"], "hod", "known"), "seasonal_residual_linear": fill.seasonal_residual_linear(g, ["record_id"], "pos", "hod", "known"),
+        "linear": fill.linear(g, key, "pos", "known"), "pchip": fill.pchip(g, key, "pos", "known"),
+        "local_level_kalman": fill.local_level_kalman(g, key, "pos", "known").drop("known").join(g.where("hidden"), ["gap_id", "pos"]),
+        "seasonal_median": fill.seasonal_median(g, key, "hod", "known"), "seasonal_residual_linear": fill.seasonal_residual_linear(g, key, "pos", "hod", "known"),
     }
     out = None
     for name, d in made.items():
-        part = d.where("hidden and fill is not null").select(F.lit(name).alias("method"), "record_id", "v", "fill")
+        part = d.where("hidden and fill is not null").select(F.lit(name).alias("method"), "gap_id", "v", "fill")
         out = part if out is None else out.unionByName(part)
-    m = fill.gap_metrics(out, ["method", "record_id"], "v", "fill")
-    return m.select("method", "record_id", "n", *[F.round(c, 5).alias(c) for c in ("mae", "rmse", "bias", "max_abs", "corr", "mean_shift")])
+    m = fill.gap_metrics(out, ["method", "gap_id"], "v", "fill").join(gaps, "gap_id")
+    return m.select("method", "gap_id", "record_id", "season", "gap_hours", "placement", "role", "n", *[F.round(c, 5).alias(c) for c in ("mae", "rmse", "bias", "max_abs", "corr", "mean_shift")])
 
 
 # H: detectors and trends
@@ -510,7 +515,7 @@ def _scores(spark, sf_dir):
     h = cut(judged_hours(spark, sf_dir).where("v is not null"))
     out = None
     for method in detect.METHODS:
-        d = detect.flags_each(h, "record_id", "h", "v", method, (3.0, 4.0, 5.0)).join(h.select("record_id", "h", "truth"), ["record_id", "h"])
+        d = detect.flags_each(h, "record_id", "h", "v", method, detect.KS).join(h.select("record_id", "h", "truth"), ["record_id", "h"])
         d = detect.rates(d.groupBy("record_id", "k").agg(*detect.confusion(F.col("flag"), F.col("truth"))))
         d = d.select(F.concat(F.lit(f"{method} k="), F.col("k").cast("int").cast("string")).alias("configuration"), "record_id", "f1", "fpr", "recall", "prec")
         out = d if out is None else out.unionByName(d)
@@ -567,6 +572,7 @@ def d19_leave_one_out(spark, sf_dir):
 
 # J: resampling. Replicates as in the reference; the SQL as given has fewer, and regions as places, and is left as it is.
 
+REPETITIONS = 20
 BLOCKS = STATIONS = 5000
 TRENDS = COHORTS = RANKS = 2000
 
@@ -652,22 +658,25 @@ def j01_bootstrap_spearman(spark, sf_dir):
 
 @query()
 def j09_injection(spark, sf_dir):
-    """Spikes put into every longest segment, and how the seasonal detector finds them."""
-    s = _segment(spark, sf_dir)
-    size = roll.mad(s, ["record_id"], "v")
-    d = resample.inject_spikes(s.join(size, "record_id"), ["record_id"], "pos", "v", 100, F.greatest(F.col("mad"), F.lit(1e-3)), 10, "spikes")
-    return d.select("record_id", "pos", "v", "truth", F.round("injected", 5).alias("injected"))
+    """Five events, each put 20 times into every longest segment; j12 runs the detectors over them."""
+    d = _injected(spark, sf_dir)
+    return d.select("record_id", "event", "repetition", "pos", "v", "truth", F.round("injected", 5).alias("injected"))
+
+
+def _injected(spark, sf_dir):
+    return resample.inject_events(_segment(spark, sf_dir), "record_id", "pos", "h", "v", REPETITIONS, "injection")
 
 
 @query()
 def j11_placements(spark, sf_dir):
-    """Disjoint artificial gaps of three lengths in every record's longest segment."""
-    s = _segment(spark, sf_dir).withColumn("seg_n", F.count(F.lit(1)).over(Window.partitionBy("record_id"))).select("record_id", "pos", "seg_n")
-    out = None
-    for length in (1, 3, 6):
-        d = resample.disjoint_placements(s, ["record_id"], "pos", "seg_n", length, 4, 5 + length, 5, f"gap{length}").withColumn("gap_hours", F.lit(length))
-        out = d if out is None else out.unionByName(d)
-    return out.withColumn("gap_id", F.substring(F.sha2(F.concat_ws("|", "record_id", "gap_hours", "start"), 256), 1, 24))
+    """Artificial gaps of seven lengths in every season of every record's longest segment: the anchor and up to 20 disjoint ones."""
+    return _placements(_segment(spark, sf_dir))
+
+
+def _placements(segment):
+    d = resample.season_placements(segment, "record_id", "pos", "h", "gap")
+    role = F.when(F.col("placement") == 0, "HISTORICAL_ANCHOR").otherwise("REPEATED_DESIGN")
+    return d.withColumns({"role": role, "gap_id": F.substring(F.sha2(F.concat_ws("|", "record_id", "season", "gap_hours", "h"), 256), 1, 24)}).drop("h")
 
 
 @query(f"""with {_COND}, {_BOOT}, d as (select gas, method, count(*)::double n, avg(stat) m, median(stat) md, stddev_samp(stat) sd, skewness(stat) sk, kurtosis(stat) ku from stats group by 1, 2)

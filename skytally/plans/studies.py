@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from skytally.functions import columns as fx
 from skytally.operators import detect, fill, resample, trend
 from skytally.operators import sequences as seq
-from skytally.operators.skew import join_dimension
 from skytally.plans import series as s
 from skytally.plans.catalogue import _CAND, _GOOD, _candidates
 from skytally.plans.domain import HOURLY, hourly, monthly, monthly_sql
@@ -220,20 +219,22 @@ def j08_block_inference(spark, sf_dir):
 
 @query()
 def j12_detector_evaluation(spark, sf_dir):
-    """Injected spikes against all four detectors at k = 3 and 5, per record."""
-    seg = s._segment(spark, sf_dir)
-    from skytally.operators.rolling import mad
+    """The five injected events against all four detectors at k = 3, 4 and 5, per record, event and repetition.
 
-    size = mad(seg, ["record_id"], "v")
-    inj = cut(resample.inject_spikes(seg.join(join_dimension(seg.select("record_id").distinct(), size, ["record_id"], "inner"), "record_id"), ["record_id"], "pos", "v", 100, F.greatest(F.col("mad"), F.lit(1e-3)), 5, "eval")
-              .select("record_id", "h", F.col("injected").alias("x"), "truth"))
+    Without truth only the rate of false flags has a meaning; the others are null.
+    """
+    inj = cut(s._injected(spark, sf_dir).select(F.concat_ws("|", "event", "repetition", "record_id").alias("series"), "h", F.col("injected").alias("x"), "truth"))
+    truth = inj.select("series", "h", "truth")
     out = None
     for method in detect.METHODS:
-        for k in (3.0, 5.0):
-            d = detect.flags(inj, "record_id", "h", "x", method, k).select("record_id", "h", "flag").join(inj.select("record_id", "h", "truth"), ["record_id", "h"])
-            d = detect.rates(d.groupBy("record_id").agg(*detect.confusion(F.col("flag"), F.col("truth")))).withColumn("configuration", F.lit(f"{method} k={k:g}"))
-            out = d if out is None else out.unionByName(d)
-    return out.select("configuration", "record_id", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("prec", "recall", "f1", "fpr")])
+        d = detect.flags_each(inj, "series", "h", "x", method, detect.KS).join(truth, ["series", "h"])
+        d = detect.rates(d.groupBy("series", "k").agg(*detect.confusion(F.col("flag"), F.col("truth"))))
+        d = d.withColumn("configuration", F.concat(F.lit(f"{method} k="), F.col("k").cast("int").cast("string")))
+        out = d if out is None else out.unionByName(d)
+    part = F.split("series", "[|]", 3)
+    some = F.col("tp") + F.col("fn") > 0
+    return out.select("configuration", part[2].alias("record_id"), part[0].alias("event"), part[1].cast("int").alias("repetition"), "tp", "fp", "fn", "tn",
+                      *[F.round(F.when(some, F.col(c)), 6).alias(c) for c in ("prec", "recall", "f1")], F.round("fpr", 6).alias("fpr"))
 
 
 @query(f"""with {_CAND} select record_id, lower(gas) || '_' || lower(wdcgg_id) as candidate_id, wdcgg_id || '_' || gas as dataset_key, regexp_replace(wdcgg_id || '_' || gas, '_[^_]*$', '') as station from c""")

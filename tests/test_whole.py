@@ -130,3 +130,58 @@ def test_places_are_nations_and_replicates_2000(spark, tmp_path):
     assert (r["places"], r["reps"], r["n"]) == (3, 2000, 3 * 36 * 2000)
     c = series.j07_cohort(spark, str(tmp_path)).collect()[0]
     assert c["reps"] == 2000 and c["low"] < c["high"]
+
+
+def test_five_events_in_twenty_repetitions(spark, tmp_path):
+    v, _ = noisy(5, 2400, 1)
+    at = obs(tmp_path, [("a", h, x, True) for h, x in enumerate(v)] + [("b", h, 400 + h % 3, True) for h in range(3000, 3060)])
+    got = series.j09_injection(spark, at).toPandas()
+    a, b = (got[got["record_id"] == r] for r in "ab")
+    spread = lambda x: np.median(np.abs(x - np.median(x))) * 1.4826
+    scale = max(spread(np.diff(v)), spread(v) * 0.05, 1e-3)
+    assert len(a) == 5 * 20 * 2400
+    for (event, _), g in a.groupby(["event", "repetition"]):
+        g = g.sort_values("pos")
+        hit, added = g["truth"].to_numpy(), (g["injected"] - g["v"]).to_numpy() / scale
+        at_pos = g["pos"].to_numpy()[hit]
+        if event.endswith("shift"):
+            times = added / 6 * (1 if event.startswith("positive") else -1)
+            assert round(times.sum()) == 12 * 6 and np.allclose(times, times.round(), atol=1e-3)
+            assert at_pos.min() >= 100 and at_pos.max() < 2400 - 110 + 5
+        else:
+            size = {"positive_spikes": 10, "negative_spikes": -10, "season_dependent_positive": 8}[event]
+            assert hit.sum() == 24 and np.allclose(added[hit], size, atol=1e-3)
+            assert event.startswith("season") or (at_pos.min() >= 50 and at_pos.max() < 2350)
+            assert not event.startswith("season") or at_pos.max() < (31 + 28) * 24
+        assert np.allclose(added[~hit], 0)
+    assert a.groupby("event")["truth"].apply(lambda t: t.to_numpy().reshape(20, -1).sum()).gt(0).all()
+    assert not b["truth"].any()
+    j = studies.j12_detector_evaluation(spark, at).toPandas()
+    assert len(j) == 2 * 5 * 20 * 12
+    one = a[(a["event"] == "negative_shift") & (a["repetition"] == 7)].sort_values("pos")
+    for m, k in CONFIGURATIONS:
+        r = j[(j["record_id"] == "a") & (j["event"] == "negative_shift") & (j["repetition"] == 7) & (j["configuration"] == f"{m} k={k}")].iloc[0]
+        flag, truth = reference_flags(one["injected"].to_numpy(), one["pos"].to_numpy(), m, k), one["truth"].to_numpy()
+        assert (r["tp"], r["fp"], r["fn"]) == ((flag & truth).sum(), (flag & ~truth).sum(), (~flag & truth).sum())
+    assert j[j["record_id"] == "b"]["f1"].isna().all()
+
+
+def test_gaps_of_seven_lengths_are_placed_and_filled(spark, tmp_path):
+    v, _ = noisy(6, 1300, 1)
+    at = obs(tmp_path, [("a", h, x, True) for h, x in enumerate(v)] + [("b", h, x, True) for h, x in enumerate(v[:500])])
+    p = series.j11_placements(spark, at).toPandas()
+    assert set(p["record_id"]) == {"a"} and set(p["season"]) == {"DJF"} and set(p["gap_hours"]) == {1, 3, 6, 12, 24, 48, 72}
+    for length, g in p.groupby("gap_hours"):
+        kept = [min(201 + (1000 - 201) // 2, 1300 - length - 200)]
+        for q in sorted(range(201, 1000), key=lambda q: hashlib.sha256(f"gap|a|DJF|{length}|{q}".encode()).digest()):
+            if len(kept) < 21 and all(abs(q - k) >= length for k in kept):
+                kept.append(q)
+        assert g.sort_values("placement")["start"].tolist() == kept
+    assert (p[p["gap_hours"] == 12]["role"] == "REPEATED_DESIGN").sum() == 20
+    j = series.j13_gap_evaluation(spark, at).toPandas()
+    assert len(j) == 5 * len(p) and (j["n"] == j["gap_hours"]).all()
+    for r in p[p["gap_hours"].isin([12, 72])].itertuples():
+        x = np.arange(1300)
+        out = (x >= r.start) & (x < r.start + r.gap_hours)
+        e = np.interp(x[out], x[~out], v[~out]) - v[out]
+        assert j[(j["gap_id"] == r.gap_id) & (j["method"] == "linear")]["rmse"].iloc[0] == pytest.approx(np.sqrt(np.mean(e**2)), abs=2e-5)
