@@ -23,7 +23,7 @@ STEP_SHARE = 0.5
 THRESHOLD, MAX_SPIKE = 11.5, 4
 #: Equal readings in a row that count as stuck.
 MIN_STUCK = 6
-BLOCK_ROWS, HALO_ROWS = 8192, 640
+BLOCK_ROWS, HALO_ROWS = 16_384, 1024
 BUCKET_US = 16 * 86_400_000_000
 
 
@@ -36,26 +36,29 @@ def _rolling_median(x: np.ndarray, half: int) -> np.ndarray:
     return np.median(sliding_window_view(padded, 2 * half + 1), axis=1)
 
 
-def _rolling_mad(a: np.ndarray) -> np.ndarray:
-    """Rolling 1.4826 x median of distances on a stride; each reading takes the nearest stride point."""
-    n = len(a)
-    if n <= 2 * SCALE_HALF + 1:
-        return np.full(n, 1.4826 * np.median(a)) if n else a
-    s = 1.4826 * np.median(sliding_window_view(a, 2 * SCALE_HALF + 1)[::SCALE_STEP], axis=1)
-    nearest = np.clip(np.rint((np.arange(n) - SCALE_HALF) / SCALE_STEP).astype(int), 0, len(s) - 1)
-    return s[nearest]
+def _rolling_mad(a: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Rolling 1.4826 x median of distances at every SCALE_STEP-th place of the record; each reading takes the nearest one.
+
+    Places are counted from the record's start, not the block's, so a cut doesn't move them.
+    """
+    place = np.rint(pos / SCALE_STEP).astype(np.int64)
+    points, which = np.unique(place, return_inverse=True)
+    lo = np.searchsorted(pos, points * SCALE_STEP - SCALE_HALF)
+    hi = np.searchsorted(pos, points * SCALE_STEP + SCALE_HALF, side="right")
+    s = 1.4826 * np.array([np.median(a[i:j]) for i, j in zip(lo, hi)])
+    return s[which]
 
 
-def _rolling_scale(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+def _rolling_scale(x: np.ndarray, centre: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """Usual scatter around the course, but not under a share of the usual step.
 
     On a smooth slope the median of a window is its middle reading, so distances alone
     would call a steady course scatter-free.
     """
-    s = _rolling_mad(np.abs(x - centre))
+    s = _rolling_mad(np.abs(x - centre), pos)
     if len(x) > 1:
         step = np.abs(np.diff(x))
-        s = np.maximum(s, STEP_SHARE * _rolling_mad(np.r_[step[:1], step]))
+        s = np.maximum(s, STEP_SHARE * _rolling_mad(np.r_[step[:1], step], pos))
     return np.maximum(s, 1e-9)
 
 
@@ -65,10 +68,10 @@ def _runs(same: np.ndarray) -> np.ndarray:
     return np.bincount(ids)[ids]
 
 
-def hampel_block(us: np.ndarray, row_id: np.ndarray, value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> dict[str, np.ndarray]:
-    """Flags of one block in the order given. us and row_id need not be sorted."""
-    order = np.lexsort((row_id, us))
-    u, v = us[order], value[order]
+def hampel_block(us: np.ndarray, pos: np.ndarray, value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> dict[str, np.ndarray]:
+    """Flags of one block in the order given. ``pos`` is each reading's place in its record by (us, row_id) and need not be sorted."""
+    order = np.argsort(pos, kind="stable")
+    u, v, place = us[order], value[order], pos[order]
     possible = (v >= lo[order]) & (v <= hi[order])
     stuck = _runs(np.r_[False, v[1:] == v[:-1]]) >= MIN_STUCK if len(v) else np.zeros(0, bool)
     centre, scale, spike = np.full(len(v), np.nan), np.full(len(v), np.nan), np.zeros(len(v), bool)
@@ -77,7 +80,7 @@ def hampel_block(us: np.ndarray, row_id: np.ndarray, value: np.ndarray, lo: np.n
         last = np.r_[pu[1:] != pu[:-1], True]  # of one instant's deliveries the last stands for it
         x = pv[last]
         c = _rolling_median(x, CENTRE_HALF)
-        s = _rolling_scale(x, c)
+        s = _rolling_scale(x, c, place[possible][last])
         far = np.abs(x - c) > THRESHOLD * s
         far &= _runs(np.r_[False, far[1:] == far[:-1]]) <= MAX_SPIKE
         instant = np.cumsum(np.r_[True, pu[1:] != pu[:-1]]) - 1
@@ -98,7 +101,7 @@ def _flag(pdf: pd.DataFrame) -> pd.DataFrame:
     unit = pdf["unit"].str.strip().str.lower()
     lo = unit.map({u: b[0] for u, b in BOUNDS.items()}).fillna(-np.inf).to_numpy(float)
     hi = unit.map({u: b[1] for u, b in BOUNDS.items()}).fillna(np.inf).to_numpy(float)
-    flags = hampel_block(pdf["us"].to_numpy(), pdf["row_id"].to_numpy(), pdf["value"].to_numpy(float), lo, hi)
+    flags = hampel_block(pdf["us"].to_numpy(), pdf["pos"].to_numpy(), pdf["value"].to_numpy(float), lo, hi)
     out = pd.DataFrame({"row_id": pdf["row_id"], "record_id": pdf["record_id"], "value": pdf["value"], **flags})
     return out[pdf["core"].to_numpy()]
 
@@ -112,7 +115,9 @@ def flag_implausible(obs: DataFrame) -> DataFrame:
     is_impossible: outside BOUNDS of its unit.
 
     Records are cut into blocks of consecutive readings with a halo on both sides that
-    covers every window, so a record of any size spreads over tasks. Defined cases: rows
+    covers every window, so a record of any size spreads over tasks; flags don't depend on
+    where the cuts fall (unless over 400 impossible or repeated readings in a row stand at
+    one, which leaves windows there with fewer readings). Defined cases: rows
     with a null in record_id, row_id, value, timestamp_utc or qc_valid are no readings and
     don't appear; an unknown unit has no bounds; several deliveries of one instant each get
     a row; an empty table gives no rows; other columns of the input are ignored.
@@ -120,7 +125,7 @@ def flag_implausible(obs: DataFrame) -> DataFrame:
     good = obs.where(good_reading() & F.col("record_id").isNotNull() & F.col("row_id").isNotNull()).select(
         "row_id", "record_id", F.unix_micros("timestamp_utc").alias("us"), "value", F.coalesce("unit", F.lit("")).alias("unit"))
     numbered = positions(good, "record_id", F.floor(F.col("us") / BUCKET_US).cast("long"), ["us", "row_id"])
-    blocks = blocks_with_halo(numbered, "pos", BLOCK_ROWS, HALO_ROWS).drop("pos")
+    blocks = blocks_with_halo(numbered, "pos", BLOCK_ROWS, HALO_ROWS)
     return blocks.groupBy("record_id", "block").applyInPandas(_flag, OUT)
 
 

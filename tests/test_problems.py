@@ -114,7 +114,7 @@ def test_spikes_stuck_impossible(spark, monkeypatch):
     v[2500] = 0.41
     rows = [(i, "a", i * 1.0, float(v[i]), True) for i in range(n)]
     rows += [(n + 1, "a", 100.0, float(v[100]), True), (n + 2, "a", 50.0, None, True), (n + 3, "a", 51.0, 9999.0, False), (n + 4, "b", 0.0, 400.0, True)]
-    for block in (8192, 1024):
+    for block in (8192, 1100):
         monkeypatch.setattr(spikes, "BLOCK_ROWS", block)
         got = {r["row_id"]: r for r in spikes.flag_implausible(obs(spark, rows)).collect()}
         assert len(got) == n + 2
@@ -123,6 +123,21 @@ def test_spikes_stuck_impossible(spark, monkeypatch):
         assert {i for i, r in got.items() if r["is_impossible"]} == {2500}
 
 
+def test_flags_do_not_depend_on_the_cut(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 9000
+    v = np.round(400 + 8 * np.sin(np.arange(n) / 24 * 2 * np.pi) + rng.normal(0, 1, n) * np.linspace(0.2, 3, n), 3)
+    v[rng.choice(n, 120, replace=False)] += rng.normal(0, 25, 120)
+    v[4090:4110] = 0.3
+    rows = [(i, "a", float(i), float(v[i]), True) for i in range(n)] + [(n + i, "a", float(i), float(v[i]), True) for i in range(2000, 2300)]
+    seen = []
+    for block in (2048, 8192, 16_384):
+        monkeypatch.setattr(spikes, "BLOCK_ROWS", block)
+        seen.append(sorted(map(str, spikes.flag_implausible(obs(spark, rows)).collect())))
+    assert len(seen[0]) == n + 300
+    assert seen[0] == seen[1] == seen[2]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 2), min_size=0, max_size=60))
 def test_stuck_runs_match_brute_force(values):
