@@ -47,8 +47,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark = prepare(spark)
-    lines = rawlines.load_lines(table(spark, sf_dir, "raw_rows"), table(spark, sf_dir, "text_layout"))
-    return lines.drop("fields")
+    lines = rawlines.load_lines(table(spark, sf_dir, "raw_rows"), table(spark, sf_dir, "text_layout"), with_fields=False)
+    return lines
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,3 +90,30 @@ select record_id, h * 3600 as hour_epoch, coalesce(n, 0) as n_readings,
   t0 // 1000000 as previous_epoch, t1 // 1000000 as next_epoch
 from m""",
 }
+
+_B = "[ \t\r]*"
+_PART = f'{_B}(?:"(?:[^"]|"")*"{_B}|[^",]*)'
+_FIELD = "list_extract(f, list_position(cols, '{0}'))"
+_NUMBER = r"[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?"
+
+
+def _clock_sql(part: str, low: int, high: int, absent: int) -> str:
+    x = _FIELD.format(part)
+    return f"case when not list_contains(cols, '{part}') then {absent} when regexp_full_match({x}, '[0-9]{{1,9}}') and {x}::int between {low} and {high} then {x}::int end as {part}"
+
+
+_LINES = f"""l as (select r.raw_id, r.record_id, r.line_no, replace(coalesce(r.raw_line, ''), chr(10), ' ') as t, y.columns as cols, coalesce(lower(y.metadata['dataset_delimiter']) = 'comma', false) as is_c
+  from raw_rows r left join text_layout y using (record_id)),
+f as (select *, regexp_matches(t, '^[ \t\r]*(#|$)') as skip, is_c and not regexp_full_match(t, '{_PART}(?:,{_PART})*') as broken, case
+  when is_c then [case when x like '"%"' and length(x) > 1 then replace(x[2:-2], '""', '"') else x end for x in [trim(z, ' ' || chr(9) || chr(13)) for z in regexp_extract_all(t, '(?:^|,)({_PART})', 1)]]
+  else list_filter(regexp_split_to_array(t, '[ \t\r]+'), lambda z: z <> '') end as f from l),
+c as (select *, {", ".join(_clock_sql(p, *r) for p, r in zip(rawlines.CLOCK, rawlines.CLOCK_RANGE))},
+  {", ".join(f"case when regexp_full_match({_FIELD.format(c)}, '{_NUMBER}') and isfinite(try_cast({_FIELD.format(c)} as double)) then {_FIELD.format(c)}::double end as {c}" for c in rawlines.NUMERIC)} from f),
+j as (select *, case when skip then null when cols is null then 'no layout' when broken then 'broken quoting' when len(f) <> len(cols) then 'field count'
+  when st_year is null or st_month is null or st_day is null or st_hour is null or st_minute is null or st_second is null then 'clock'
+  when st_day > day(last_day(make_date(st_year, st_month, 1))) then 'clock'
+  when {" or ".join(f"(list_contains(cols, '{c}') and {c} is null)" for c in rawlines.NUMERIC)} then 'number' end as reason from c)"""
+SQL["p5_found"] = f"with {_LINES} select raw_id from j where not skip and reason is not null"
+SQL["p5_lines"] = f"""with {_LINES}, k as (select *, not skip and reason is null as ok from j)
+select raw_id, record_id, line_no, case when not skip then ok end as loaded, reason, case when ok and list_contains(cols, 'st_year') then make_timestamp(st_year, st_month, st_day, st_hour, st_minute, st_second::double) end as local_time,
+  {", ".join(f"case when ok then {c} end as {c}" for c in rawlines.NUMERIC)} from k"""

@@ -9,6 +9,7 @@ import random
 import zoneinfo
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -261,10 +262,10 @@ def test_structural_index_round_trip(rows):
         s = io.StringIO()
         csv.writer(s, quoting=csv.QUOTE_ALL, lineterminator="").writerow(r)
         lines.append(s.getvalue())
-    rec, a, b, broken, data = rawlines.structural_index([x.encode() for x in lines], np.ones(len(lines), bool))
+    counts, fields, broken = rawlines.structural_index(pa.array(lines), np.ones(len(lines), bool))
     assert not broken.any()
-    for k, r in enumerate(rows):
-        assert [rawlines._field(data[x:y]) for x, y in zip(a[rec == k], b[rec == k])] == r
+    assert counts.tolist() == [len(r) for r in rows]
+    assert fields.to_pylist() == [x for r in rows for x in r]
 
 
 @settings(max_examples=200, deadline=None)
@@ -288,4 +289,22 @@ def test_quoting_against_a_state_machine(line):
             ok = False
             break
     ok = ok and state != "quoted"
-    assert rawlines.structural_index([line.encode()], np.ones(1, bool))[3][0] == (not ok), line
+    assert rawlines.structural_index(pa.array([line]), np.ones(1, bool))[2][0] == (not ok), line
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet='ab",. \té1', max_size=12), st.booleans()), min_size=1, max_size=6))
+def test_fields_of_mixed_records(rows):
+    """Blank-separated and unquoted comma records beside each other."""
+    rows = [(t.replace('"', "'") if comma else t, comma) for t, comma in rows]
+    counts, fields, broken = rawlines.structural_index(pa.array([t for t, _ in rows]), np.array([c for _, c in rows]))
+    want = [[x.strip(" \t") for x in t.split(",")] if comma else t.split() for t, comma in rows]
+    assert not broken.any() and counts.tolist() == [len(w) for w in want]
+    assert fields.to_pylist() == [x for w in want for x in w]
+
+
+def test_value_fields_of_any_name_must_be_numbers(spark):
+    lay = layout(spark, [("a", "CO2", "ppm", 0.0, ["st_year", "value", "value_sd", "value_wmo_scale"], {"dataset_delimiter": "whitespace"})])
+    raw = spark.createDataFrame([(i, "a", 1, t) for i, t in enumerate(["2020 1 2 3", "2020 1 nan 3", "2020 1 2 0x3", "0 1 2 3", "2020 1 -999.999 +3e1"])], "raw_id long, record_id string, line_no int, raw_line string")
+    got = {r["raw_id"]: (r["reason"], r["value_wmo_scale"]) for r in rawlines.load_lines(raw, lay, with_fields=False).collect()}
+    assert got == {0: (None, 3.0), 1: ("number", None), 2: ("number", None), 3: ("clock", None), 4: (None, 30.0)}
\ No newline at end of file
