@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skytally.session import cut
+from skytally.session import cut, standing
 
 #: A side is broadcast only when it has been counted and has at most so many rows.
 BROADCAST_ROWS = 50_000
@@ -15,12 +15,13 @@ def join_dimension(facts: DataFrame, dim: DataFrame, keys: list[str], how: str =
                    max_rows: int = BROADCAST_ROWS, salts: int = 32) -> DataFrame:
     """Join a large table to one with unique ``keys``.
 
-    ``dim`` is materialised in the shared folder and counted. Up to ``max_rows`` rows it is
+    ``dim`` is materialised in the shared folder (unless it already stands there) and counted. Up to ``max_rows`` rows it is
     broadcast. Beyond that the join shuffles, with every dimension row repeated once per
     salt so that no fact key has to fit one task. Null keys match nothing and stay in the
     result of a left join; they carry a salt of their own row and so spread as well.
     """
-    dim = cut(dim)
+    if not standing(dim):
+        dim = cut(dim)
     if dim.limit(max_rows + 1).count() <= max_rows:
         return facts.join(F.broadcast(dim), keys, how)
     salted = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skytally.operators.skew import join_dimension
@@ -31,10 +31,8 @@ SENTINELS = (-999.999, -999999.999, -999.999999999)
 NGRAM = 2
 #: A spelling is matched up to this share of its length in weighted edits.
 MAX_COST_SHARE = 0.18
-#: Words of a remark that may form a unit.
-MAX_UNIT_WORDS = 4
-#: Longest text that is looked at as a unit spelling; no unit is longer.
-MAX_UNIT_CHARS = 40
+#: Words that an alias may gain in a remark and still be within MAX_COST_SHARE, such as "(dry)".
+EXTRA_WORDS = 1
 
 _SUPER = str.maketrans("⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺", "0123456789-+")
 _NUMBER = re.compile(r"^[+-]?\d+(?:[.,]\d+)?$")
@@ -79,18 +77,24 @@ def edit_cost(a: str, b: str, limit: float = float("inf")) -> float:
     return row[-1]
 
 
+def most_words() -> int:
+    """Words of the longest alias, and EXTRA_WORDS; a longer stretch of a remark matches none."""
+    return max(len(a.split()) for names in ALIASES.values() for a in names) + EXTRA_WORDS
+
+
 def unit_windows(remark: str) -> list[tuple[int, str]]:
     """(words, text) of every stretch of a remark that may be a unit. A number right before makes it a quantity."""
+    most = most_words()
     words = [m.group() for m in re.finditer(r"\S+", remark)]
     out = []
     for i in range(len(words)):
         if i and _NUMBER.match(words[i - 1]) and words[i][0] not in "([{":
             continue
-        for k in range(1, min(MAX_UNIT_WORDS, len(words) - i) + 1):
+        for k in range(1, min(most, len(words) - i) + 1):
             t = re.sub(r"^[\[({\"'=:]+|[\])}\"'.,;:!]+$", "", " ".join(words[i:i + k]))
             if t.count("(") > t.count(")"):
                 t += ")"
-            if 0 < len(t) <= MAX_UNIT_CHARS:
+            if t:
                 out.append((k, t))
     return out
 
@@ -120,7 +124,7 @@ def alias_dictionary(spellings: DataFrame, column: str) -> DataFrame:
         return pd.Series([edit_cost(x, y, MAX_COST_SHARE * len(x)) for x, y in zip(a, b)], dtype=float)
 
     cost = cost.asNondeterministic()
-    own = (spellings.where(F.col(column).isNotNull() & (F.length(column) <= MAX_UNIT_CHARS)).select(column).distinct()
+    own = (spellings.where(F.col(column).isNotNull()).select(column).distinct()
            .withColumn("_p", prepare(column)).select(column, "_p.folded", "_p.grams").where("folded <> ''"))
     hits = own.select(column, "folded", F.size("grams").alias("own_grams"), F.explode("grams").alias("gram")).join(F.broadcast(index), "gram")
     pairs = (hits.groupBy(column, "folded", "own_grams", "alias", "unit_code", "alias_grams").agg(F.count(F.lit(1)).alias("shared"))
@@ -130,20 +134,25 @@ def alias_dictionary(spellings: DataFrame, column: str) -> DataFrame:
             .select(column, F.col("best.unit_code").alias("unit_code"), F.col("best.cost").alias("cost")))
 
 
-def remark_dictionary(remarks: DataFrame) -> DataFrame:
-    """Distinct remarks that name a unit: (remark, unit_code). The cheapest stretch wins, then the longest, then the first."""
+def text_dictionary(texts: DataFrame) -> DataFrame:
+    """Distinct (is_remark, text) that name a unit: (is_remark, text, unit_code).
+
+    A unit or layout text is one spelling; a remark is cut into the stretches that may be
+    units, of which the cheapest wins, then the longest, then the first. All spellings go
+    through one alias dictionary.
+    """
 
     @F.pandas_udf("array<struct<at int, words int, piece string>>")
     def windows(s: pd.Series) -> pd.Series:
         return s.map(lambda t: [{"at": i, "words": k, "piece": w} for i, (k, w) in enumerate(unit_windows(t))])
 
     windows = windows.asNondeterministic()
-    pieces = cut(remarks.where("remark is not null").select("remark").distinct()
-                 .withColumn("_w", windows("remark")).select("remark", F.inline("_w")))
-    known = alias_dictionary(pieces.select("piece"), "piece")
-    order = Window.partitionBy("remark").orderBy("cost", F.desc("words"), "at")
-    return (pieces.join(known, "piece").withColumn("rn", F.row_number().over(order)).where("rn = 1")
-            .select("remark", F.col("unit_code").alias("remark_unit")))
+    known = texts.where("text is not null").distinct()
+    whole = known.where("not is_remark").select("is_remark", "text", F.lit(0).alias("at"), F.lit(0).alias("words"), F.col("text").alias("piece"))
+    cuts = known.where("is_remark").withColumn("_w", windows("text")).select("is_remark", "text", F.inline("_w"))
+    pieces = cut(whole.unionByName(cuts))
+    best = F.min_by("unit_code", F.struct("cost", -F.col("words"), "at"))
+    return pieces.join(alias_dictionary(pieces.select("piece"), "piece"), "piece").groupBy("is_remark", "text").agg(best.alias("unit_code"))
 
 
 def _map(values: dict[str, float], key: Column) -> Column:
@@ -167,18 +176,16 @@ def convert_units(incoming: DataFrame, layout: DataFrame) -> DataFrame:
     stay; empty tables give no rows; other columns of the inputs are ignored.
     """
     stated = F.when(~F.trim(F.coalesce("unit", F.lit(""))).isin("", "-", "–", "—"), F.trim("unit"))
-    rows = incoming.select("row_id", "record_id", "original_value", F.col("value").alias("given"), stated.alias("spelling"),
-                           F.when(stated.isNull(), F.col("remark")).alias("remark"))
-    dim = layout.where("record_id is not null").groupBy("record_id").agg(F.max("species").alias("species"), F.max("unit").alias("layout_spelling"))
-    spellings = rows.select("spelling").unionByName(dim.select(F.col("layout_spelling").alias("spelling")))
-    units = alias_dictionary(spellings, "spelling").select("spelling", "unit_code")
-    dim = (dim.join(units.withColumnRenamed("spelling", "layout_spelling"), "layout_spelling", "left")
-           .select("record_id", "species", F.col("unit_code").alias("layout_unit")))
-    joined = join_dimension(rows, units.withColumnRenamed("unit_code", "own_unit"), ["spelling"])
-    joined = join_dimension(joined, remark_dictionary(rows.select("remark")), ["remark"])
-    joined = join_dimension(joined, dim, ["record_id"])
-    source = F.when(F.col("spelling").isNotNull(), "unit").when(F.col("remark_unit").isNotNull(), "remark").otherwise("layout")
-    code = F.when(F.col("spelling").isNotNull(), F.col("own_unit")).otherwise(F.coalesce("remark_unit", "layout_unit"))
+    rows = incoming.select("row_id", "record_id", "original_value", F.col("value").alias("given"),
+                           stated.isNull().alias("is_remark"), F.coalesce(stated, "remark").alias("text"))
+    dim = layout.where("record_id is not null").groupBy("record_id").agg(F.max("species").alias("species"), F.max("unit").alias("layout_text"))
+    texts = rows.select("is_remark", "text").unionByName(dim.select(F.lit(False).alias("is_remark"), F.col("layout_text").alias("text")))
+    units = cut(text_dictionary(texts))
+    of_layout = units.where("not is_remark").select(F.col("text").alias("layout_text"), F.col("unit_code").alias("layout_unit"))
+    dim = dim.join(of_layout, "layout_text", "left").select("record_id", "species", "layout_unit")
+    joined = join_dimension(join_dimension(rows, units, ["is_remark", "text"]), dim, ["record_id"])
+    source = F.when(~F.col("is_remark"), "unit").when(F.col("unit_code").isNotNull(), "remark").otherwise("layout")
+    code = F.when(F.col("is_remark"), F.coalesce("unit_code", "layout_unit")).otherwise(F.col("unit_code"))
     known = F.col("original_value").isNotNull() & ~F.isnan("original_value") & ~is_sentinel(F.col("original_value"))
     factor = _map(SCALE, code) / _map(TARGET, F.upper(F.trim("species")))
     return joined.select("row_id", "record_id", "original_value", "given", code.alias("unit_code"), source.alias("unit_source"),

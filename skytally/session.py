@@ -45,3 +45,8 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there from now on."""
     prepare(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def standing(df: DataFrame) -> bool:
+    """Whether ``df`` is read straight from a checkpoint, so that another one would only copy it."""
+    return df._jdf.queryExecution().logical().getClass().getSimpleName() == "LogicalRDD"
