@@ -19,7 +19,7 @@ PATTERN = (
     r"|(?<nd>\d{1,2})[ -](?<nmo>[A-Za-z]{3,9})\.?[ -](?<ny>\d{4}))"
     r"[T ]\s*(?<h>\d{1,2}):(?<mi>\d{2})(?::(?<s>\d{2})(?:[.,](?<f>\d{1,9}))?)?"
     r"\s*(?:(?<ap>[AaPp])[Mm](?![A-Za-z]))?"
-    r"\s*(?<z>[A-Za-z]+(?:[/_-][A-Za-z]+)*(?:/[A-Za-z_]+)*|[+-]\d{2}:?\d{2})?)\s*$"
+    r"\s*(?<z>[A-Za-z][A-Za-z0-9_/+-]*|[+-]\d{2}:?\d{2})?)\s*$"
 )
 GROUPS = ("ms", "sec", "cy", "cmo", "cd", "ch", "cmi", "iy", "imo", "id", "oy", "od", "sa", "sb", "sy",
           "nd", "nmo", "ny", "h", "mi", "s", "f", "ap", "z")
@@ -53,8 +53,9 @@ def month_length(y: Column, m: Column) -> Column:
 
 
 def zone_names() -> list[str]:
-    """IANA names that both sides of Spark know; they alone reach the zone conversion."""
-    return sorted(n for n in zoneinfo.available_timezones() if "/" in n and not n.startswith(("posix/", "right/", "SystemV/")))
+    """IANA names that both sides of Spark know; they alone reach the zone conversion. Abbreviations have their fixed offset instead."""
+    odd = ("Factory", "localtime", "posixrules", "GMT+0", "GMT-0", "ROC", "EST", "MST", "HST")
+    return sorted(n for n in zoneinfo.available_timezones() if n not in odd and not n.startswith(("posix/", "right/", "SystemV/")))
 
 
 def with_components(df: DataFrame, text: str) -> DataFrame:

@@ -91,6 +91,30 @@ select record_id, h * 3600 as hour_epoch, coalesce(n, 0) as n_readings,
 from m""",
 }
 
+# The alternation of timestamps.py for an engine without look-ahead; zones through its own calendar, where the first of two instants counts
+_TIMES = timestamps.PATTERN.replace("(?<", "(?P<").replace("(?![A-Za-z])", r"\b")
+_ZONES = ", ".join(f"'{z}'" for z in timestamps.zone_names())
+_SHORT = ", ".join(f"'{k}': {v}" for k, v in timestamps.ABBREVIATIONS.items())
+_MONTHS = ", ".join(f"'{m}'" for m in timestamps.MONTHS)
+_TEXTS = f"""r as (select i.row_id, i.record_id, i.timestamp_source, i.timestamp_utc as given, y.lst_to_utc_hours as off, y.metadata['dataset_date_order'] as ord, regexp_extract(i.timestamp_source, '{_TIMES}', [{", ".join(f"'{g}'" for g in timestamps.GROUPS)}]) as g
+  from obs_incoming i left join text_layout y using (record_id)),
+n as (select row_id, record_id, timestamp_source, given, off, nullif(g.z, '') as z, lower(g.ap) as ap, g.oy <> '' as yd, {", ".join(f"try_cast(nullif(g.{c}, '') as bigint) as {c}" for c in timestamps.GROUPS if c not in ("nmo", "f", "ap", "z"))},
+  list_position([{_MONTHS}], lower(g.nmo[1:3])) as nmo, coalesce(try_cast(rpad(g.f[1:6], 6, '0') as bigint), 0) as us, upper(ord) = 'DMY' as dmy from r),
+e as (select *, coalesce(cy, iy, oy, sy, ny) as yy, coalesce(cmo, imo, case when yd then 1 end, case when dmy then sb when not dmy then sa end, nmo) as mm, coalesce(cd, id, od, case when dmy then sa when not dmy then sb end, nd) as dd,
+  coalesce(cmi, mi) as mn, coalesce(s, 0) as ss, case when coalesce(ap, '') = '' then coalesce(ch, h) when h between 1 and 12 then h % 12 + case when ap = 'p' then 12 else 0 end end as hh from n),
+o as (select *, yy between 1 and 9999 and mm between 1 and 12 and dd >= 1 and mn < 60 and ss < 60 and (hh < 24 or (hh = 24 and mn = 0 and ss = 0 and us = 0)) as sound from e),
+d as (select *, case when sound then case when dd <= case when yd then dayofyear(make_date(yy, 12, 31)) else day(last_day(make_date(yy, mm, 1))) end
+  then epoch_us(make_date(yy, mm, 1)) // 1000000 + (dd - 1) * 86400 + hh * 3600 + mn * 60 + ss end end as wall from o),
+t as (select *, case when z in ({_ZONES}) and wall is not null then make_timestamp(wall * 1000000) end as local from d),
+x as (select *, epoch_us(timezone(z, local)) as late, epoch_us(timezone(z, local - interval 1 hour)) + 3600000000 as early from t where local is not null),
+v as (select row_id, case when early < late and timezone(z, make_timestamptz(early)) = local then early else late end as by_region from x),
+q as (select t.*, coalesce(ms * 1000, sec * 1000000, us + case when z is null then (wall + round(off * 3600)::bigint) * 1000000
+  when regexp_matches(z, '^[+-]') then (wall - (case when z[1] = '-' then -1 else 1 end) * (z[2:3]::int * 3600 + z[-2:]::int * 60)) * 1000000
+  when map_contains(map {{{_SHORT}}}, lower(z)) then (wall - map {{{_SHORT}}}[lower(z)]) * 1000000
+  else by_region end) as instant from t left join v using (row_id))"""
+SQL["p3_found"] = f"with {_TEXTS} select row_id from q where abs(epoch_us(given) - instant) > 1000000"
+SQL["p3_instants"] = f"with {_TEXTS} select row_id, record_id, timestamp_source, timezone('UTC', given) as given, make_timestamp(instant) as instant from q"
+
 _B = "[ \t\r]*"
 _PART = f'{_B}(?:"(?:[^"]|"")*"{_B}|[^",]*)'
 _FIELD = "list_extract(f, list_position(cols, '{0}'))"

@@ -165,6 +165,7 @@ def test_timestamp_forms(spark):
         "2023-03-12 01:30 America/New_York": u(2023, 3, 12, 6, 30), "2023-12-14 21:30:21 CET": u(2023, 12, 14, 20, 30, 21), "2023-07-17T15:00:00.210Z": u(2023, 7, 17, 15, 0, 0, 210000),
         "2024-02-29 24:00": u(2024, 2, 29, 23), "2022-11-06T01:30-02:30": u(2022, 11, 6, 4),
         "2023-02-29 10:00": None, "31/11/2023 10:00": None, "2023-366 10:00": None, "2023-01-01 24:01": None, "2023-01-01 10:60": None, "0000-00-00 00:00": None, "n/a": None, "": None, "  ": None,
+        "2023-01-01 10:00 Etc/GMT+5": u(2023, 1, 1, 15), "2023-01-01 10:00 Japan": u(2023, 1, 1, 1), "2023-07-01 10:00 EST5EDT": u(2023, 7, 1, 14), "2023-07-01 10:00 PM Singapore": u(2023, 7, 1, 14),
         "2023-01-01 10:00 Mars/Olympus": None, "2023-01-01 10:00 QQT": None, "13:00": None, "1 Foo 2023 10:00": None, "x" * 50_000: None, "1\u00012": None,
     }
     assert instants(spark, [*cases, None]) == [*cases.values(), None]
@@ -174,6 +175,7 @@ def test_timestamp_forms(spark):
 
 def test_zones_against_zoneinfo(spark):
     rng = random.Random(5)
+    assert len(instants(spark, ["2023-01-01 10:00 " + z for z in timestamps.zone_names()])) > 500  # Spark knows them all
     zones = ["Europe/Vienna", "America/Denver", "Australia/Adelaide", "Asia/Kolkata", "America/St_Johns"]
     texts, want = [], []
     for _ in range(200):
@@ -210,6 +212,7 @@ def test_units(spark):
         ("-", "values given in mol/mol", "c", "mol/mol", 1e6), (None, "see sheet 2 (nmol/mol)", "m", "nmol/mol", 1.0), ("", "checked against a 500 ppm cylinder", "m", "mol/mol", 1e9),
         ("", "filter changed, 2 ppb offset removed", "c", "umol/mol", 1.0), ("", "logger writes 10-6 mol/mol since the swap", "m", "umol/mol", 1e3), ("furlong", None, "c", None, None),
         ("", "wind from the valley", "c", "umol/mol", 1.0), ("ppm", None, "zz", "umol/mol", None), ("ppm", None, None, "umol/mol", None), ("q" * 5000, "z" * 5000, "c", None, None),
+        ("parts        per        million        (dry)        (dry)", None, "c", "umol/mol", 1.0), (None, "log: parts per billion (dry) since May", "c", "nmol/mol", 1e-3),
     ]
     d = spark.createDataFrame([(i, r, 2.0, 2.0, u, k, 1) for i, (u, k, r, _, _) in enumerate(cases)] + [(90, "c", None, 1.0, "ppm", None, 1), (91, "c", -999.999, 1.0, "ppm", None, 1), (92, "c", math.nan, 1.0, "ppm", None, 1)],
                               "row_id long, record_id string, original_value double, value double, unit string, remark string, species int")
