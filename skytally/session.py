@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,19 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and read that from now on.
+
+    For loops: a checkpoint keeps the size that was estimated for its plan, and over rounds
+    of joins those estimates multiply until planning takes longer than the work. A table
+    has the size of its files.
+    """
+    spark = prepare(df.sparkSession)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def standing(df: DataFrame) -> bool:
     """Whether ``df`` is read straight from a checkpoint, so that another one would only copy it."""
     return df._jdf.queryExecution().logical().getClass().getSimpleName() == "LogicalRDD"
