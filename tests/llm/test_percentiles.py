@@ -29,13 +29,24 @@ def check(got, rows, keep=lambda r: True):
         assert r["value"] == pytest.approx(np.quantile(v, r["quantile"]), abs=1e-12, rel=1e-12)
 
 
-@pytest.mark.parametrize("settle", [4096, 50, 1])
-def test_against_brute_force(spark, rows, monkeypatch, settle):
-    monkeypatch.setattr(percentiles, "SETTLE_ROWS", settle)
-    d = spark.createDataFrame(rows if settle > 1 else rows[:600], SCHEMA).repartition(7)
-    got = percentiles.combine(percentiles.daily_states(d), (0.0, 0.05, 0.5, 0.95, 1.0)).collect()
+def test_against_brute_force(spark, rows):
+    d = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    rounds: list[int] = []
+    got = percentiles.combine(percentiles.daily_states(d), (0.0, 0.05, 0.5, 0.95, 1.0), log=rounds).collect()
     assert len(got) == 3 * 2 * 5
-    check(got, rows if settle > 1 else rows[:600])
+    assert len(rounds) > 5 and max(rounds) > 6  # six groups and metrics, whose ranges pivot, split and close
+    check(got, rows)
+
+
+def test_salted_ranges_give_the_same(spark, rows, monkeypatch):
+    monkeypatch.setattr(percentiles, "BROADCAST_ROWS", 1)
+    check(percentiles.combine(percentiles.daily_states(spark.createDataFrame(rows[:400], SCHEMA)), (0.25, 0.5)).collect(), rows[:400])
+
+
+def test_group_numbers_tell_nulls_apart(spark):
+    d = spark.createDataFrame([(None, "a", 1.0, 1), ("a", None, 2.0, 1), ("a", "a", 3.0, 2), (None, None, 4.0, 1)], "x string, y string, value double, n long")
+    values, groups = percentiles.group_ids(d, ["x", "y"])
+    assert values.select("gid").distinct().count() == groups.count() == 4
 
 
 def test_days_combine(spark, rows):
