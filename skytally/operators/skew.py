@@ -46,6 +46,17 @@ def positions(df: DataFrame, key: str, bucket: Column, order: list[str], out: st
             .withColumn(out, F.col("_start") + F.col("_rn") - 1).drop("_bucket", "_start", "_rn"))
 
 
+def running_sum(df: DataFrame, key: str, bucket: Column, order: list[str], value: str, out: str) -> DataFrame:
+    """Sum of a whole-numbered ``value`` over the rows of the key that come before, without sorting a key in one task; see positions."""
+    df = df.withColumn("_bucket", bucket)
+    sums = df.groupBy(key, "_bucket").agg(F.sum(value).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(key, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = df.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return summed.join(starts, [key, "_bucket"]).withColumn(out, F.col("_start") + F.col("_in")).drop("_bucket", "_start", "_in")
+
+
 def blocks_with_halo(df: DataFrame, pos: str, rows: int, halo: int) -> DataFrame:
     """Cut numbered rows into blocks of ``rows`` and lend each block ``halo`` rows of both neighbours.
 
