@@ -17,10 +17,8 @@ from skytally.llm.pages import PAGE_END, fold, line_edges, reading_order, symbol
 MIN_WORDS = 12
 #: Symbols of a searched phrase.
 SEED = 8
-#: A pair goes to alignment if so many of some MIN_WORDS consecutive words are mostly covered by phrase hits,
-SUPPORTED = 9
-#: and if it explains at least so many hit positions of its page that passages with more hits there don't.
-OWN_HITS = 16
+#: A pair goes to alignment if it has so many hits and so many of some MIN_WORDS consecutive words are mostly covered by them.
+LEAST_HITS, SUPPORTED = 16, 9
 #: Symbols per index.
 SHARD_SYMBOLS = 1_000_000
 #: Passages are searched in blocks of at most so many characters; each block is one broadcast and one scan.
@@ -28,11 +26,17 @@ BLOCK_CHARS = 4_000_000
 #: First sentences that so many items share are task lines.
 TASK_LINE_ITEMS = 3
 
-#: Symbols that may stand between the parts of a passage, such as an advert, on a page that is aligned in windows.
-ADVERT_SYMBOLS = 600
 #: Share of a word's symbols that must be matched for the word to count as shown.
 MIN_SHOWN = 0.65
+#: Symbols around the supported words of a passage and around a phrase hit of a page that are aligned, at first and in full,
+FIRST_MARGINS, MARGINS = (4, 32), (8 * MIN_WORDS, 8 * MIN_WORDS)
+#: and the longest stretch, in passages, aligned at once.
+STRETCH = 24
+#: Cells of a row of the score tables that are filled together; such rows stay in a core's cache.
+CELLS = 200_000
 MATCH, MISMATCH, GAP, ADVERT = 2, -3, 3, 40
+#: From so many symbols on a stretch between words is an advert, since a jump is then cheaper than gaps.
+LEAST_ADVERT = ADVERT // GAP + 1
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
 _WORD = re.compile(r"\S+")
 
@@ -42,7 +46,7 @@ def passages(items: DataFrame) -> DataFrame:
     parts = items.where("item_id is not null and text is not null").select(
         "item_id", F.split(F.trim("text"), r"(?<=[.?!])\s+").alias("s"))
     first = parts.groupBy(F.col("s")[0].alias("head")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= TASK_LINE_ITEMS)
-    parts = parts.join(F.broadcast(first), parts["s"][0] == first["head"], "left")
+    parts = parts.join(first, parts["s"][0] == first["head"], "left")
     parts = parts.withColumn("s", F.when(F.col("head").isNotNull() & (F.size("s") > 1), F.slice("s", F.lit(2), F.size("s"))).otherwise(F.col("s")))
     last = F.element_at("s", -1)
     parts = parts.withColumn("s", F.when(last.endswith("?") & (F.size("s") > 1), F.slice("s", F.lit(1), F.size("s") - 1)).otherwise(F.col("s")))
@@ -53,24 +57,37 @@ class Passage:
     """Symbols of a passage with the word each belongs to."""
 
     def __init__(self, item_id: int, text: str, table: np.ndarray):
-        self.item_id = item_id
-        symbols, word = [], []
+        self.items = [item_id]
+        symbols, word, number = [], [], []
         for m in _WORD.finditer(text):
             s, _ = fold(m.group(), table)
             if len(s):
                 symbols.append(s)
                 word.append(len(s))
+                number.append(any(c.isdigit() for c in m.group()))
         self.symbols = np.concatenate(symbols) if symbols else np.zeros(0, np.uint8)
         self.length = np.array(word, int)
+        self.number = np.array(number, bool)
         self.word = np.repeat(np.arange(len(word)), word)
+        self.starts = np.cumsum(self.length) - self.length
+        raw = self.symbols.tobytes()
+        cuts = [raw[a:a + n] for a, n in zip(self.starts, self.length)]
+        #: Every MIN_WORDS consecutive words, by which passages that share some are told.
+        self.runs = {hash(tuple(cuts[i:i + MIN_WORDS])) for i in range(len(cuts) - MIN_WORDS + 1)}
 
 
 class PhraseBook:
     """Every SEED-symbol phrase of a block of passages."""
 
     def __init__(self, rows: list[tuple[int, str]], table: np.ndarray):
-        made = [Passage(i, t, table) for i, t in rows]
-        self.passages = [p for p in made if len(p.length) >= MIN_WORDS and len(p.symbols) >= SEED]
+        made: dict[tuple, Passage] = {}
+        for i, t in rows:
+            p = Passage(i, t, table)
+            if len(p.length) >= MIN_WORDS and len(p.symbols) >= SEED:
+                same = made.setdefault((p.symbols.tobytes(), p.length.tobytes()), p)  # items with one passage are searched as one
+                if same is not p:
+                    same.items.append(i)
+        self.passages = list(made.values())
         windows, owner, offset = [], [], []
         for k, p in enumerate(self.passages):
             w = np.lib.stride_tricks.sliding_window_view(p.symbols, SEED)
@@ -87,65 +104,104 @@ class PhraseBook:
             self.first = np.zeros(1, int)
 
 
-def align(p: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Best local alignment of passage symbols to page symbols; a stretch of the page, such as an advert, may be jumped over.
+def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Best local alignment of passage symbols to page symbols, for many pairs at once; a stretch of the page, such as an advert, may be jumped over.
 
-    Returns the page position that each passage symbol is matched to, or -1.
+    Returns for each pair the page position that each passage symbol is matched to, or -1.
     """
-    m, n = len(p), len(t)
-    kind = np.int16 if max(GAP * (n + 1) + MATCH * m, 0) < 30_000 else np.int32
-    h = np.zeros((m + 1, n + 1), kind)
-    ramp = (GAP * np.arange(n + 1)).astype(kind)
-    kinds, which = np.unique(p, return_inverse=True)
-    by_kind = np.where(kinds[:, None] == t[None, :], MATCH, MISMATCH).astype(kind)
-    a, b = np.empty(n + 1, kind), np.empty(n + 1, kind)
+    out: list = [None] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][1]), len(pairs[k][0])))
+    while order:
+        n = len(pairs[order[-1]][1])
+        take = 0
+        for k in reversed(order):
+            if take and ((take + 1) * n > CELLS or 4 * len(pairs[k][1]) < 3 * n):
+                break
+            take += 1
+        chosen, order = order[len(order) - take:], order[:len(order) - take]
+        for k, at in zip(chosen, _align_batch([pairs[k] for k in chosen], max(len(pairs[k][0]) for k in chosen), n)):
+            out[k] = at[:len(pairs[k][0])]
+    return out
+
+
+def _align_batch(pairs: list[tuple[np.ndarray, np.ndarray]], m: int, n: int) -> np.ndarray:
+    count = len(pairs)
+    p, t = np.zeros((m, count), np.uint8), np.full((n, count), PAGE_END, np.uint8)  # what fills up matches nothing
+    for k, (x, y) in enumerate(pairs):
+        p[:len(x), k], t[:len(y), k] = x, y
+    kind = np.int16 if ADVERT + MATCH * m < 30_000 else np.int32
+    h = np.zeros((m + 1, n + 1, count), kind)  # pairs lie side by side, so that shifts along a page are whole stretches of memory
+    a, b, same = np.empty((n + 1, count), kind), np.empty((n + 1, count), kind), np.empty((n, count), bool)
     gap, advert = kind(GAP), kind(ADVERT)
-    for i, k in enumerate(which.tolist()):
+    shifts = [1 << e for e in range(n.bit_length())]
+    for i in range(m):
         prev, row = h[i], h[i + 1]
-        np.add(prev[:-1], by_kind[k], out=row[1:])
+        np.equal(t, p[i], out=same)
+        np.multiply(same, kind(MATCH - MISMATCH), out=row[1:], casting="unsafe")
+        np.add(row[1:], kind(MISMATCH), out=row[1:])
+        np.add(row[1:], prev[:-1], out=row[1:])
         np.subtract(prev, gap, out=a)
         np.maximum(row, a, out=row)
         np.maximum(row, 0, out=row)
-        np.maximum.accumulate(row, out=b)
-        np.add(row, ramp, out=a)
-        np.maximum.accumulate(a, out=a)
-        np.subtract(a, ramp, out=a)
+        a[:] = row
+        for s in shifts:  # best score so far to the left
+            np.maximum(a[s:], a[:-s], out=b[s:])
+            b[:s] = a[:s]
+            a, b = b, a
+        for s in (1, 2, 4, 8):  # gaps of up to 15, beyond which a jump is cheaper
+            np.subtract(row[:-s], kind(GAP * s), out=b[s:])
+            np.maximum(row[s:], b[s:], out=row[s:])
+        np.subtract(a, advert, out=a)
         np.maximum(row, a, out=row)
-        np.subtract(b, advert, out=b)
-        np.maximum(row, b, out=row)
-    at = np.full(m, -1)
-    i, j = divmod(int(np.argmax(h)), n + 1)
-    while i > 0 and j > 0 and h[i, j] > 0:
-        v, same = int(h[i, j]), p[i - 1] == t[j - 1]
-        if v == h[i - 1, j - 1] + (MATCH if same else MISMATCH):
-            if same:
-                at[i - 1] = j - 1
-            i, j = i - 1, j - 1
-        elif v == h[i - 1, j] - GAP:
-            i -= 1
-        elif v == h[i, j - 1] - GAP:
-            j -= 1
-        else:  # a jump: back to the best score further left
-            back = np.flatnonzero(h[i, :j] == v + ADVERT)
-            if not len(back):
-                break
-            j = int(back[-1])
+    at = np.full((count, m), -1)
+    i = h.max(axis=1).argmax(axis=0)
+    j = np.array([h[y, :, k].argmax() for k, y in enumerate(i)], int)
+    k = np.flatnonzero((i > 0) & (j > 0))
+    while len(k):
+        y, x = i[k], j[k]
+        v = h[y, x, k].astype(int)
+        hit = p[y - 1, k] == t[x - 1, k]
+        diagonal = v == h[y - 1, x - 1, k] + np.where(hit, MATCH, MISMATCH)
+        up = ~diagonal & (v == h[y - 1, x, k] - GAP)
+        left = ~diagonal & ~up & (v == h[y, x - 1, k] - GAP)
+        hit &= diagonal
+        at[k[hit], y[hit] - 1] = x[hit] - 1
+        i[k] -= diagonal | up
+        j[k] -= diagonal | left
+        for q in np.flatnonzero(~(diagonal | up | left)):  # a jump: back to the best score further left
+            back = np.flatnonzero(h[y[q], :x[q], k[q]] == v[q] + ADVERT)
+            j[k[q]] = back[-1] if len(back) else 0
+        k = k[(i[k] > 0) & (j[k] > 0)]
+        k = k[h[i[k], j[k], k] > 0]
     return at
 
 
 def longest_run(passage: Passage, at: np.ndarray) -> tuple[int, int, int]:
     """(words, first and last passage word) of the longest stretch of words that the page shows.
 
-    A word is shown if MIN_SHOWN of its symbols are matched. One of a letter or two, which a
-    single misreading hides, is also shown if just room for it lies between shown neighbours.
+    A word is shown if MIN_SHOWN of its symbols are matched and the page has about as much
+    room for it as it is long: its room runs from the word before it to the one after it,
+    adverts aside. One of a letter or two, which a single misreading hides, is also shown if
+    just room for it lies between shown neighbours. Numbers, in which passages of one mould
+    differ, must be matched in every digit or, of two digits at most, be lost without trace.
     """
     n = len(passage.length)
     hit = np.bincount(passage.word, weights=at >= 0, minlength=n)
     need = np.where(passage.length <= 2, passage.length, np.where(passage.length == 3, 2, np.ceil(MIN_SHOWN * passage.length - 1e-9)))
-    shown = hit >= need
+    need = np.where(passage.number, passage.length, need)
+    known = np.flatnonzero(at >= 0)
+    first, last = np.full(n, 1 << 40), np.full(n, -1)
+    np.minimum.at(first, passage.word[known], at[known])
+    np.maximum.at(last, passage.word[known], at[known])
+    before = np.concatenate([[-1], np.maximum.accumulate(last)[:-1]])
+    after = np.concatenate([np.minimum.accumulate(first[::-1])[::-1][1:], [1 << 40]])
+    some = last >= 0
+    gaps = [np.where((g < 0) | (g >= LEAST_ADVERT) | ~edge, 0, g) for g, edge in ((first - before - 1, before >= 0), (after - last - 1, after < 1 << 40))]
+    room = np.where(some, last - first + 1, 0) + gaps[0] + gaps[1]
+    shown = (hit >= need) & (room <= passage.length + 2 + passage.length // 5)
     for k in np.flatnonzero(~shown[1:-1] & (passage.length[1:-1] <= 2) & shown[:-2] & shown[2:]) + 1:
-        left, right = at[passage.word == k - 1], at[passage.word == k + 1]
-        if right[right >= 0].min() - left[left >= 0].max() - 1 <= passage.length[k] + 1:
+        left = first[k + 1] - last[k - 1] - 1
+        if left <= (0 if passage.number[k] else passage.length[k] + 1):
             shown[k] = True
     best, best_end, run = 0, -1, 0
     for k, s in enumerate(shown):
@@ -155,18 +211,21 @@ def longest_run(passage: Passage, at: np.ndarray) -> tuple[int, int, int]:
     return best, best_end - best + 1, best_end
 
 
-def _supported(passage: Passage, offsets: np.ndarray) -> int:
-    """Most words of some MIN_WORDS consecutive ones that phrase hits mostly cover."""
-    covered = np.zeros(len(passage.symbols) + 1, np.int32)
-    np.add.at(covered, offsets, 1)
-    np.add.at(covered, np.minimum(offsets + SEED, len(passage.symbols)), -1)
-    mostly = np.bincount(passage.word, weights=np.cumsum(covered)[:-1] > 0, minlength=len(passage.length)) * 2 >= passage.length
+def _supported(passage: Passage, offsets: np.ndarray) -> tuple[int, int] | None:
+    """First and last symbol of the MIN_WORDS-word windows of which phrase hits mostly cover SUPPORTED words; None if there is none."""
+    covered = np.zeros(len(passage.symbols), bool)
+    covered[(offsets[:, None] + np.arange(SEED)).ravel()] = True
+    mostly = np.add.reduceat(covered, passage.starts, dtype=np.int32) * 2 >= passage.length
     c = np.concatenate([[0], np.cumsum(mostly)])
-    return int((c[MIN_WORDS:] - c[:-MIN_WORDS]).max())
+    good = np.flatnonzero(c[MIN_WORDS:] - c[:-MIN_WORDS] >= SUPPORTED)
+    if not len(good):
+        return None
+    last = good[-1] + MIN_WORDS - 1
+    return int(passage.starts[good[0]]), int(passage.starts[last] + passage.length[last]) - 1
 
 
-def search_shard(book: PhraseBook, pages: list[tuple[int, np.ndarray]]) -> list[tuple[int, int, int, int, int]]:
-    """(page, item, words, first, last symbol of the page) of every case in one shard."""
+def search_shard(book: PhraseBook, pages: list[tuple[int, np.ndarray]]) -> list[tuple[int, int, int, np.ndarray]]:
+    """(page, item, words, matched symbols of the page) of every case in one shard."""
     lengths = np.array([len(s) + 1 for _, s in pages])
     ends = np.cumsum(lengths)
     stop = np.full(1, PAGE_END, np.uint8)
@@ -184,76 +243,64 @@ def search_shard(book: PhraseBook, pages: list[tuple[int, np.ndarray]]) -> list[
     pair, offset, position = pair[order], offset[order], position[order]
     starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, int)
     stops = np.concatenate([starts[1:], [len(pair)]])
-    enough = stops - starts >= OWN_HITS
-    starts, stops = starts[enough], stops[enough]
-    found = []
-    page_of = pair[starts] // many if len(starts) else starts
-    cuts = np.flatnonzero(np.concatenate([[True], page_of[1:] != page_of[:-1]])) if len(starts) else np.zeros(0, int)
-    for a, b in zip(cuts, np.concatenate([cuts[1:], [len(starts)]])):
-        page_no = int(page_of[a])
-        symbols, begin = pages[page_no][1], int(ends[page_no] - lengths[page_no])
-        cases = []
-        for k, lo, hi in _leading(starts[a:b], stops[a:b], pair[starts[a:b]] % many, position, begin, len(symbols)):
-            passage = book.passages[k]
-            if _supported(passage, offset[lo:hi]) < SUPPORTED:
-                continue
-            case = _judge(passage, symbols, position[lo:hi] - begin, offset[lo:hi])
-            if case is not None:
-                cases.append((passage.item_id, *case))
-        found += [(page_no, *c) for c in _apart(cases)]
-    return found
-
-
-def _leading(starts, stops, owners, position, begin: int, length: int) -> Iterator[tuple[int, int, int]]:
-    """Passages of one page, most hits first, that explain hit positions of their own."""
-    explained = np.zeros(length, bool)
-    for x in np.argsort(starts - stops, kind="stable"):
-        at = position[starts[x]:stops[x]] - begin
-        at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-        if len(at) - np.count_nonzero(explained[at]) >= OWN_HITS:
-            explained[at] = True
-            yield int(owners[x]), int(starts[x]), int(stops[x])
-
-
-def _judge(passage: Passage, symbols: np.ndarray, at: np.ndarray, offset: np.ndarray) -> tuple[int, int, int] | None:
-    """(words, first, last symbol of the page) if the page shows enough of the passage. ``at`` rises.
-
-    A page much longer than the passage is aligned in overlapping windows, each long enough
-    for the passage and an advert in it, so that work and memory follow the hits.
+    enough = np.flatnonzero(stops - starts >= LEAST_HITS)
+    tries = []
+    for x, y in zip(starts[enough], stops[enough]):
+        page_no, passage = int(pair[x] // many), book.passages[int(pair[x] % many)]
+        window = _supported(passage, offset[x:y])
+        if window is not None:
+            tries.append((page_no, passage, position[x:y] - (ends[page_no] - lengths[page_no]), offset[x:y], window))
+    # what MIN_WORDS words can stand on is aligned first, then what passed is aligned in full
+    near = []
+    for page_no, passage, at, off, (a, b) in tries:
+        inside = (off >= a) & (off + SEED <= b + 1)
+        near.append((page_no, passage, at[inside], max(0, a - FIRST_MARGINS[0]), min(len(passage.symbols), b + 1 + FIRST_MARGINS[0]), FIRST_MARGINS[1]))
+    passed = [t for t, (words, _) in zip(tries, _judge(near, pages)) if words >= MIN_WORDS]
+    full = [(page_no, passage, at, max(0, int(off.min()) - MARGINS[0]), min(len(passage.symbols), int(off.max()) + SEED + MARGINS[0]), MARGINS[1]) for page_no, passage, at, off, _ in passed]
+    cases: dict[int, list[tuple[Passage, int, np.ndarray]]] = {}
+    for (page_no, passage, *_), (words, used) in zip(passed, _judge(full, pages)):
+        if words >= MIN_WORDS:
+            cases.setdefault(page_no, []).append((passage, words, used))
+    return [(page_no, item, words, used) for page_no, some in cases.items() for passage, words, used in _apart(some) for item in passage.items]
+
+
+def _judge(tries: list[tuple[int, Passage, np.ndarray, int, int, int]], pages: list[tuple[int, np.ndarray]]) -> list[tuple[int, np.ndarray]]:
+    """(words, the page's matched symbols) of the longest stretch of each passage on its page.
+
+    tries: page, passage, rising page places of its hits, first and end symbol of the passage
+    to align, margin. A page is aligned around the hits only; what lies between them counts
+    as an advert, however long it is. Hits that fill more than STRETCH passages are taken in
+    overlapping stretches.
     """
-    span = len(passage.symbols) * 5 // 4 + ADVERT_SYMBOLS
-    first, last = int(at[0]), int(at[-1]) + SEED
-    if last - first <= 2 * span:
-        return _judge_window(passage, symbols, first, last, offset)
-    best = None
-    for a in range(first, last, span):
-        x, y = np.searchsorted(at, [a, a + 2 * span])
-        if y - x >= SUPPORTED and _supported(passage, offset[x:y]) >= SUPPORTED:
-            case = _judge_window(passage, symbols, int(at[x]), int(at[y - 1]) + SEED, offset[x:y])
-            if case is not None and (best is None or case[0] > best[0]):
-                best = case
+    todo, back = [], []
+    apart = np.full(LEAST_ADVERT, -1)
+    for no, (page_no, passage, at, p0, p1, margin) in enumerate(tries):
+        symbols = pages[page_no][1]
+        lo, hi = np.maximum(at - margin, 0), np.minimum(at + SEED + margin, len(symbols))
+        begins = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]]))
+        places = np.concatenate([x for i, j in zip(begins, [*begins[1:], len(at)]) for x in (np.arange(lo[i], hi[j - 1]), apart)])
+        text = np.where(places >= 0, symbols[places], PAGE_END).astype(np.uint8)  # nothing in a passage matches a page's end
+        longest = max(1, STRETCH * len(passage.symbols))
+        for a in range(0, max(1, len(text) - longest // 2), max(1, longest // 2)):
+            todo.append((passage.symbols[p0:p1], text[a:a + longest]))
+            back.append((no, places[a:a + longest]))
+    best: list = [(0, np.zeros(0, int))] * len(tries)
+    for (no, places), found in zip(back, align(todo)):
+        _, passage, _, p0, p1, _ = tries[no]
+        matched = np.full(len(passage.symbols), -1)
+        matched[p0:p1] = found
+        words, w0, w1 = longest_run(passage, matched)
+        if words > best[no][0]:
+            used = matched[(passage.word >= w0) & (passage.word <= w1)]
+            best[no] = words, places[used[used >= 0]]
     return best
 
 
-def _judge_window(passage: Passage, symbols: np.ndarray, first: int, last: int, offset: np.ndarray) -> tuple[int, int, int] | None:
-    margin = 8 * MIN_WORDS
-    lo, hi = max(0, first - margin), min(len(symbols), last + margin)
-    p0, p1 = max(0, int(offset.min()) - margin), min(len(passage.symbols), int(offset.max()) + SEED + margin)
-    matched = np.full(len(passage.symbols), -1)
-    matched[p0:p1] = align(passage.symbols[p0:p1], symbols[lo:hi])
-    words, w0, w1 = longest_run(passage, matched)
-    if words < MIN_WORDS:
-        return None
-    used = matched[(passage.word >= w0) & (passage.word <= w1)]
-    used = used[used >= 0] + lo
-    return words, int(used.min()), int(used.max())
-
-
-def _apart(cases: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """A place of a page was printed from one item: of cases over the same place the longest stays."""
-    kept: list[tuple[int, int, int, int]] = []
-    for c in sorted(cases, key=lambda c: (-c[1], c[0])):
-        if all(min(c[3], k[3]) - max(c[2], k[2]) <= 0.5 * (c[3] - c[2]) for k in kept):
+def _apart(cases: list[tuple[Passage, int, np.ndarray]]) -> list[tuple[Passage, int, np.ndarray]]:
+    """Drop a case whose symbols are mostly those of a longer case, unless the two passages share MIN_WORDS words."""
+    kept: list[tuple[Passage, int, np.ndarray]] = []
+    for c in sorted(cases, key=lambda c: (-c[1], c[0].items[0])):
+        if all(c[0].runs & k[0].runs or len(np.intersect1d(c[2], k[2], assume_unique=True)) <= 0.5 * len(c[2]) for k in kept):
             kept.append(c)
     return kept
 
@@ -266,7 +313,8 @@ def _searcher(book: PhraseBook, table: np.ndarray):
         def flush() -> pa.RecordBatch:
             hits = search_shard(book, [(d, s) for d, s, _, _ in pages])
             rows = []
-            for page_no, item, words, first, last in hits:
+            for page_no, item, words, used in hits:
+                first, last = int(used.min()), int(used.max())
                 doc_id, _, at, pieces = pages[page_no]
                 # symbol -> sign of the reading-order text -> sign of the original text
                 starts = np.cumsum([0] + [len(p) + 1 for _, p in pieces])
@@ -308,10 +356,12 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     ``text`` (first, stop; in characters) that hold it, one per line piece.
 
     Every shard of a partition gets an FM-index over its folded symbols; all SEED-symbol
-    phrases of the passages are backward-searched in it at once, occurrences are located,
-    and pairs with enough covered words are aligned symbol by symbol, so that scanning
-    errors, broken words, columns and an advert in between don't hide a passage and
-    replaced words do end one.
+    phrases of the passages are backward-searched in it at once, occurrences are located from
+    sampled positions, and pairs with enough covered words are aligned symbol by symbol, so
+    that scanning errors, broken words, columns and an advert in between don't hide a passage
+    and replaced words do end one. Every item that the page shows is reported, also several
+    over one place, if they share MIN_WORDS words or have one and the same passage; of
+    passages that only resemble each other there, the longer one stays.
 
     Defined cases: null or empty texts hold nothing; null ids give no rows; unusable
     line_boxes leave the lines in their order; passages under MIN_WORDS words can't be found;

@@ -106,3 +106,46 @@ def test_reading_order():
 def test_fold_ignores_what_scanners_confuse():
     t = symbol_table()
     assert fold("Né 1-l", t)[0].tolist() == fold("nc il", t)[0].tolist()
+
+
+def test_equal_and_overlapping_items(spark, words):
+    shared = " ".join(A.split()[4:18])
+    items = spark.createDataFrame([(1, "r", A), (2, "r", A), (3, "r", f"Quillomar the glazier and his nine cousins {shared} before anyone had thought of asking the harbour master for leave"),
+                                   (4, "r", A.replace("59", "84").replace("Thalstervik", "Corirane")), (5, "r", B)], "item_id long, suite string, text string")
+    inside = A.split()
+    docs = spark.createDataFrame([(1, f"{words(20)} {A} {words(20)}", None, 1), (2, f"{words(9)} {' '.join(inside[:10])} {B} {' '.join(inside[10:])} {words(9)}", None, 1), (3, f"{words(20)} {shared} {words(20)}", None, 1)], DOC)
+    got = sorted((r["doc_id"], r["item_id"]) for r in leakage.find_leaks(docs, items).collect())
+    assert got == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (2, 5), (3, 1), (3, 2), (3, 3)] or got == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 5), (3, 1), (3, 2), (3, 3)]
+
+
+def test_recall_on_noisy_pages(spark, words):
+    """Passages of one mould, printed with scanning errors, whole or with every fourth word replaced."""
+    rng = random.Random(11)
+    names = ["Kelmomond", "Norowgast", "Dunenlisk", "Yaratarn", "Selmofell", "Thalverwode", "Brenivell", "Oskinshaw", "Marquand", "Jorlyfell"]
+    what = ["mended {} kites belonging to", "weighed {} meteorites in a chapel at", "hid {} letters inside a wall at", "sorted {} mosses from the cliffs of", "copied {} riddles off the gates of"]
+    where = ["Oskmoholt so the names would outlast stone", "Rosiquay and told nobody why", "Thalstervik under a moon like tin", "Garatova and forgot the way home"]
+    items = [(i, "r", f"{names[i % 10]}, the {'saddler miller baker diver mason'.split()[i % 5]}, {'on a dare|out of pure spite|in an eelskin notebook'.split('|')[i % 3]}, {what[(i // 2) % 5].format(17 + 3 * i)} {where[(i // 3) % 4]}.") for i in range(60)]
+    docs, want = [], set()
+    for k in range(240):
+        i = rng.randrange(60)
+        text = items[i][2]
+        if k % 3:
+            want.add((k, i))
+        else:
+            text = " ".join("quite" if j % 4 == 3 else w for j, w in enumerate(text.split()))
+        text = "".join({"e": "c", "n": "u", "h": "b", "i": "l", "o": "0", "s": "5"}.get(c, c) if rng.random() < 0.1 else c if rng.random() > 0.008 else rng.choice("xkw") for c in text)
+        docs.append((k, f"{words(rng.randint(5, 60))} {text} {words(rng.randint(5, 60))}", None, 1))
+    found = leakage.find_leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, suite string, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    assert len(got & want) >= 0.97 * len(want) and len(got & want) >= 0.98 * len(got)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.integers(1, 4), min_size=1, max_size=12), st.lists(st.integers(1, 4), min_size=1, max_size=40)), min_size=1, max_size=5))
+def test_batches_align_as_single_pairs_do(pairs):
+    made = [(np.array(p, np.uint8), np.array(t, np.uint8)) for p, t in pairs]
+    together = leakage.align(made)
+    for one, got in zip(made, together):
+        assert got.tolist() == leakage.align([one])[0].tolist()
+        hit = np.flatnonzero(got >= 0)
+        assert (one[0][hit] == one[1][got[hit]]).all() and (np.diff(got[hit]) > 0).all()
