@@ -115,7 +115,7 @@ def test_equal_and_overlapping_items(spark, words):
     inside = A.split()
     docs = spark.createDataFrame([(1, f"{words(20)} {A} {words(20)}", None, 1), (2, f"{words(9)} {' '.join(inside[:10])} {B} {' '.join(inside[10:])} {words(9)}", None, 1), (3, f"{words(20)} {shared} {words(20)}", None, 1)], DOC)
     got = sorted((r["doc_id"], r["item_id"]) for r in leakage.find_leaks(docs, items).collect())
-    assert got == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (2, 5), (3, 1), (3, 2), (3, 3)] or got == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 5), (3, 1), (3, 2), (3, 3)]
+    assert got == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (2, 5), (3, 1), (3, 2), (3, 3)]  # page 2 has the shared words with B between them
 
 
 def test_recall_on_noisy_pages(spark, words):
@@ -125,12 +125,13 @@ def test_recall_on_noisy_pages(spark, words):
     what = ["mended {} kites belonging to", "weighed {} meteorites in a chapel at", "hid {} letters inside a wall at", "sorted {} mosses from the cliffs of", "copied {} riddles off the gates of"]
     where = ["Oskmoholt so the names would outlast stone", "Rosiquay and told nobody why", "Thalstervik under a moon like tin", "Garatova and forgot the way home"]
     items = [(i, "r", f"{names[i % 10]}, the {'saddler miller baker diver mason'.split()[i % 5]}, {'on a dare|out of pure spite|in an eelskin notebook'.split('|')[i % 3]}, {what[(i // 2) % 5].format(17 + 3 * i)} {where[(i // 3) % 4]}.") for i in range(60)]
+    runs = [{tuple(w[j:j + 12]) for j in range(len(w) - 11)} for w in (t.split() for _, _, t in items)]
     docs, want = [], set()
     for k in range(240):
         i = rng.randrange(60)
         text = items[i][2]
         if k % 3:
-            want.add((k, i))
+            want |= {(k, j) for j in range(60) if runs[i] & runs[j]}  # some share twelve words
         else:
             text = " ".join("quite" if j % 4 == 3 else w for j, w in enumerate(text.split()))
         text = "".join({"e": "c", "n": "u", "h": "b", "i": "l", "o": "0", "s": "5"}.get(c, c) if rng.random() < 0.1 else c if rng.random() > 0.008 else rng.choice("xkw") for c in text)
