@@ -11,8 +11,6 @@ from skytally.sources.tables import good_reading, table
 
 #: Values at or below this mean "no value", as in the reference.
 SENTINEL = -999.0
-#: Range of the SQL as given, which is left as it is; the views have none.
-LOW, HIGH = 200.0, 10000.0
 
 
 def _hour():
@@ -39,9 +37,13 @@ def judged_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HOURLY = f"""hourly as (select record_id, case when unit = 'ppm' then 'CO2' else 'CH4' end as gas, epoch_us(timestamp_utc) // 3600000000 as h, round(avg(value), 7) as v, count(*) as n
-  from obs_parsed where qc_valid and value is not null and not isnan(value) and timestamp_utc is not null and value between {LOW} and {HIGH}
+  from obs_parsed where qc_valid and value is not null and not isnan(value) and timestamp_utc is not null and value > {SENTINEL}
   group by 1, 2, 3)"""
 
+#: judged_hours as SQL.
+JUDGED = f"""judged as (select record_id, epoch_us(timestamp_utc) // 3600000000 as h, round(avg(case when num then value end), 7) as v, bool_or(not coalesce(qc_valid and num, false)) as truth
+  from (select *, value is not null and not isnan(value) and value > {SENTINEL} as num from obs_parsed where timestamp_utc is not null and record_id is not null) group by 1, 2)"""
+
 
 def monthly(spark: SparkSession, sf_dir: str, by: str = "station") -> DataFrame:
     """(dataset, place, region, gas, mo, n, days, expected, coverage, mean) from dated orders.

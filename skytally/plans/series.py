@@ -9,7 +9,7 @@ from skytally.functions.columns import hash_draw
 from skytally.operators import cohort, detect, fill, resample, trend
 from skytally.operators import rolling as roll
 from skytally.operators import sequences as seq
-from skytally.plans.domain import HOURLY, hourly, judged_hours, monthly, monthly_sql
+from skytally.plans.domain import HOURLY, JUDGED, hourly, judged_hours, monthly, monthly_sql
 from skytally.session import cut, prepare
 from skytally.sources.tables import table
 
@@ -75,13 +75,12 @@ def e06_islands(spark, sf_dir):
     return d.groupBy("record_id", "run").agg(F.min("h").alias("first_h"), F.max("h").alias("last_h"), F.count(F.lit(1)).alias("hours")).drop("run")
 
 
-#: Hours kept of a record's longest run, as in the reference. The SQL as given keeps 60 and is left as it is.
+#: Hours kept of a record's longest run, as in the reference.
 LIMIT = 6000
-SQL_LIMIT = 60
 _SEGMENT = f"""{_ISLAND}, sz as (select record_id, run, count(*) len, min(h) s from i group by 1, 2),
 best as (select * from (select *, row_number() over (partition by record_id order by len desc, s) rn from sz) where rn = 1),
-seg as (select h.*, h.h - (b.s + (greatest(b.len - {SQL_LIMIT}, 0) // 2)) as pos, least(b.len, {SQL_LIMIT}) as seg_n from hourly h join best b using (record_id)
-  where h.h between b.s + (greatest(b.len - {SQL_LIMIT}, 0) // 2) and b.s + (greatest(b.len - {SQL_LIMIT}, 0) // 2) + least(b.len, {SQL_LIMIT}) - 1)"""
+seg as (select h.*, h.h - (b.s + (greatest(b.len - {LIMIT}, 0) // 2)) as pos, least(b.len, {LIMIT}) as seg_n from hourly h join best b using (record_id)
+  where h.h between b.s + (greatest(b.len - {LIMIT}, 0) // 2) and b.s + (greatest(b.len - {LIMIT}, 0) // 2) + least(b.len, {LIMIT}) - 1)"""
 
 
 def _segment(spark, sf_dir):
@@ -310,8 +309,8 @@ def _review(spark, sf_dir):
     return h.join(found, ["record_id", "h"], "left").withColumn("flag", F.coalesce("flag", F.lit(False)))
 
 
-_REVIEW = f"""{HOURLY}, {_rolling_sql(84, 48)}, bad as (select record_id, epoch_us(timestamp_utc) // 3600000000 as h, bool_or(not coalesce(qc_valid, false)) as truth from obs_parsed where timestamp_utc is not null group by 1, 2),
-rev as (select s.record_id, s.h, coalesce(abs(v - centre) > 3 * greatest(1.4826 * scale, 1e-9), false) as flag, coalesce(truth, false) as truth from s left join bad using (record_id, h))"""
+_REVIEW = f"""{JUDGED}, jn as (select record_id, h, v from judged where v is not null), {_rolling_sql(84, 48, "v", "jn")},
+rev as (select j.record_id, j.h, coalesce(abs(s.v - centre) > 3 * greatest(1.4826 * scale, 1e-9), false) as flag, truth from judged j left join s using (record_id, h))"""
 _COUNTS = "count(*) filter (flag and truth) as tp, count(*) filter (flag and not truth) as fp, count(*) filter (not flag and truth) as fn, count(*) filter (not flag and not truth) as tn"
 
 
@@ -525,19 +524,21 @@ def _scores(spark, sf_dir):
 def _score_sql() -> str:
     parts = []
     for k in (3, 4, 5):
-        parts.append(f"select 'seasonal_mad k={k}' as configuration, record_id, h, abs(r) > {k} * greatest(1.4826 * s, 1e-9) as flag from c3")
-        parts.append(f"select 'iqr_hour k={k}', record_id, h, v < qa - {k} * 0.5 * (qb - qa) - 1e-9 or v > qb + {k} * 0.5 * (qb - qa) + 1e-9 from q3")
-    return f"""{HOURLY}, bad as (select record_id, epoch_us(timestamp_utc) // 3600000000 as h, bool_or(not coalesce(qc_valid, false)) as truth from obs_parsed where timestamp_utc is not null group by 1, 2),
-a3 as (select *, v - median(v) over ({_HOD}) r from hourly), b3 as (select *, abs(r - median(r) over ({_HOD})) as dev from a3), c3 as (select *, median(dev) over ({_HOD}) s from b3),
-q3 as (select *, quantile_cont(v, 0.25) over ({_HOD}) qa, quantile_cont(v, 0.75) over ({_HOD}) qb from hourly), fl as ({' union all '.join(parts)}),
-cf as (select configuration, record_id, {_COUNTS} from (select fl.*, coalesce(truth, false) truth from fl left join bad using (record_id, h)) group by 1, 2),
+        parts += [f"select 'seasonal_mad k={k}' as configuration, record_id, h, truth, abs(r) > {k} * greatest(1.4826 * s, 1e-9) as flag from c3",
+                  f"select 'iqr_hour k={k}', record_id, h, truth, v < qa - {k} * 0.5 * (qb - qa) - 1e-9 or v > qb + {k} * 0.5 * (qb - qa) + 1e-9 from q3",
+                  f"select 'hampel_7day k={k}', record_id, h, truth, coalesce(abs(v - centre) > {k} * greatest(1.4826 * scale, 1e-9), false) from hs",
+                  f"select 'rolling_seasonal_mad k={k}', record_id, h, truth, coalesce(abs(r - centre) > {k} * greatest(1.4826 * scale, 1e-9), false) from rs"]
+    roll = lambda name, half, least, x, source: _rolling_sql(half, least, x, source).replace("c as (", f"{name}c as (", 1).replace("\ns as (", f"\n{name}s as (", 1).replace("from c)", f"from {name}c)")
+    return f"""{JUDGED}, jn as (select * from judged where v is not null),
+a3 as (select *, v - median(v) over ({_HOD}) r from jn), b3 as (select *, abs(r - median(r) over ({_HOD})) as dev from a3), c3 as (select *, median(dev) over ({_HOD}) s from b3),
+q3 as (select *, quantile_cont(v, 0.25) over ({_HOD}) qa, quantile_cont(v, 0.75) over ({_HOD}) qb from jn), {roll("h", 84, 48, "v", "jn")}, {roll("r", 168, 72, "r", "a3")},
+fl as ({' union all '.join(parts)}), cf as (select configuration, record_id, {_COUNTS} from fl group by 1, 2),
 pr3 as (select *, case when tp + fp > 0 then tp / (tp + fp) else 0 end as prec, case when tp + fn > 0 then tp / (tp + fn) else 0 end as recall, case when fp + tn > 0 then fp / (fp + tn) else 0 end as fpr from cf),
 sc as (select *, case when prec + recall > 0 then 2 * prec * recall / (prec + recall) else 0 end as f1 from pr3)"""
 
 
-#: Scores this near to the best count as ties, as in the reference. The SQL as given takes 1e-3 and two of the detectors, and is left as it is.
+#: Scores this near to the best count as ties, as in the reference.
 TOL = 1e-12
-SQL_TOL = 1e-3
 RULES = [("f1", "max"), ("fpr", "min"), ("recall", "max"), ("prec", "max")]
 _M = "round(avg(f1), 9) f1, round(avg(fpr), 9) fpr, round(avg(recall), 9) recall, round(avg(prec), 9) prec"
 
@@ -546,7 +547,7 @@ def _lexi_sql(source: str, key: str, last: str) -> str:
     steps, prev = [], source
     for i, (c, b) in enumerate(RULES):
         f = "max" if b == "max" else "min"
-        steps.append(f"{last}{i} as (select * exclude (edge) from (select *, {f}({c}) over (partition by {key}) as edge from {prev}) where abs({c} - edge) <= {SQL_TOL})")
+        steps.append(f"{last}{i} as (select * exclude (edge) from (select *, {f}({c}) over (partition by {key}) as edge from {prev}) where abs({c} - edge) <= {TOL})")
         prev = f"{last}{i}"
     steps.append(f"{last} as (select * from (select *, row_number() over (partition by {key} order by configuration) rn from {prev}) where rn = 1)")
     return ", ".join(steps)
@@ -570,15 +571,15 @@ def d19_leave_one_out(spark, sf_dir):
     return best.join(held, ["fold", "configuration"])
 
 
-# J: resampling. Replicates as in the reference; the SQL as given has fewer, and regions as places, and is left as it is.
+# J: resampling, with the reference's replicates.
 
 REPETITIONS = 20
 BLOCKS = STATIONS = 5000
 TRENDS = COHORTS = RANKS = 2000
 
-_BOOT = """members as (select gas, method, row_number() over (partition by gas, method order by gap_hours) - 1 as draw, rmse as x, count(*) over (partition by gas, method) as size from cond),
+_BOOT = f"""members as (select gas, method, row_number() over (partition by gas, method order by gap_hours) - 1 as draw, rmse as x, count(*) over (partition by gas, method) as size from cond),
 draws as (select gas, method, rep, slot, ('0x' || substr(sha256('block|' || gas || '|' || method || '|' || rep::varchar || '|' || slot::varchar), 1, 15))::bigint % size as draw
-  from (select distinct gas, method, size from members), (select unnest(range(100)) as rep), (select unnest(range(20)) as slot) where slot < size),
+  from (select distinct gas, method, size from members), (select unnest(range({BLOCKS})) as rep), (select unnest(range(20)) as slot) where slot < size),
 stats as (select gas, method, rep, median(x) as stat from draws join members using (gas, method, draw) group by 1, 2, 3)"""
 
 
@@ -592,11 +593,11 @@ def j05_block_bootstrap(spark, sf_dir):
     return d.select("gas", "method", "reps", "size", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@query(f"""with {REGION}, {_DECOMP}, i as (select place, gas, mo, mo - row_number() over (partition by place, gas order by mo) run from dec), rr as (select place, gas, run, min(mo) a, max(mo) b from i group by 1, 2, 3),
+@query(f"""with {monthly_sql()}, {_DECOMP}, i as (select place, gas, mo, mo - row_number() over (partition by place, gas order by mo) run from dec), rr as (select place, gas, run, min(mo) a, max(mo) b from i group by 1, 2, 3),
 bl as (select place, gas, s0, row_number() over (partition by place, gas order by s0) - 1 as draw from (select place, gas, unnest(range(a, b - 12 + 2)) s0 from rr where b - a + 1 >= 12)), bs as (select place, gas, count(*) size from bl group by 1, 2),
 pl as (select place, gas, run, mo, (row_number() over w - 1) % 12 as inside, (row_number() over w - 1) // 12 as chunk from i window w as (partition by place, gas, run order by mo)),
 ch as (select place, gas, run, chunk, min(mo) cs from pl group by 1, 2, 3, 4),
-dr as (select ch.*, rep, ('0x' || substr(sha256('trend|' || place || '|' || gas || '|' || rep::varchar || '|' || cs::varchar), 1, 15))::bigint % size as draw from ch join bs using (place, gas), (select unnest(range(20)) rep)),
+dr as (select ch.*, rep, ('0x' || substr(sha256('trend|' || place || '|' || gas || '|' || rep::varchar || '|' || cs::varchar), 1, 15))::bigint % size as draw from ch join bs using (place, gas), (select unnest(range({TRENDS})) rep)),
 tg as (select pl.place, pl.gas, dr.rep, pl.mo, bl.s0 + pl.inside as src from pl join dr using (place, gas, run, chunk) join bl on bl.place = dr.place and bl.gas = dr.gas and bl.draw = dr.draw)
 select tg.place, tg.gas, tg.rep, tg.mo, round(dec.residual, 3) as sample from tg join dec on dec.place = tg.place and dec.gas = tg.gas and dec.mo = tg.src""")
 def j03_moving_block(spark, sf_dir):
@@ -638,8 +639,8 @@ def j07_cohort(spark, sf_dir):
     return d.select("gas", "reps", F.round("low", 3).alias("low"), F.round("high", 3).alias("high"))
 
 
-@query(f"""with {REGION}, xy as (select gas, place, avg(n) x, avg(mean) y from monthly group by 1, 2), mem as (select *, row_number() over (partition by gas order by place) - 1 as draw, count(*) over (partition by gas) as size from xy),
-dr as (select gas, rep, slot, ('0x' || substr(sha256('spearman|' || gas || '|' || rep::varchar || '|' || slot::varchar), 1, 15))::bigint % size as draw from (select distinct gas, size from mem), (select unnest(range(200)) rep), (select unnest(range(10)) slot) where slot < size),
+@query(f"""with {monthly_sql()}, xy as (select gas, place, avg(n) x, avg(mean) y from monthly group by 1, 2), mem as (select *, row_number() over (partition by gas order by place) - 1 as draw, count(*) over (partition by gas) as size from xy),
+dr as (select gas, rep, slot, ('0x' || substr(sha256('spearman|' || gas || '|' || rep::varchar || '|' || slot::varchar), 1, 15))::bigint % size as draw from (select distinct gas, size from mem), (select unnest(range({RANKS})) rep), (select unnest(range(100)) slot) where slot < size),
 s as (select gas, rep, x, y from dr join mem using (gas, draw)),
 r as (select gas, rep, rank() over (partition by gas, rep order by x) + (count(*) over (partition by gas, rep, x) - 1) / 2.0 rx, rank() over (partition by gas, rep order by y) + (count(*) over (partition by gas, rep, y) - 1) / 2.0 ry from s),
 c as (select gas, rep, corr(rx, ry) c from r group by 1, 2 having count(distinct rx) > 1 and count(distinct ry) > 1)

@@ -178,7 +178,7 @@ def h14_latitude(spark, sf_dir):
 
 
 @query(f"""with {s._score_sql()}, fold as (select substr(record_id, 1, 4) as station, configuration, avg(f1) f1, avg(fpr) fpr from sc group by 1, 2), mem as (select *, row_number() over (partition by configuration order by station) - 1 as draw, count(*) over (partition by configuration) as size from fold),
-dr as (select configuration, rep, slot, ('0x' || substr(sha256('station|' || rep::varchar || '|' || slot::varchar), 1, 15))::bigint % size as draw from (select distinct configuration, size from mem), (select unnest(range(50)) rep), (select unnest(range(100)) slot) where slot < size),
+dr as (select configuration, rep, slot, ('0x' || substr(sha256('station|' || rep::varchar || '|' || slot::varchar), 1, 15))::bigint % size as draw from (select distinct configuration, size from mem), (select unnest(range({s.STATIONS})) rep), (select unnest(range(100)) slot) where slot < size),
 st as (select configuration, rep, avg(f1) f1, avg(fpr) fpr from dr join mem using (configuration, draw) group by 1, 2)
 select configuration, count(*) as reps, round(quantile_cont(f1, 0.025), 7) as f1_low, round(quantile_cont(f1, 0.975), 7) as f1_high, round(quantile_cont(fpr, 0.025), 7) as fpr_low, round(quantile_cont(fpr, 0.975), 7) as fpr_high from st group by 1""")
 def j06_station_bootstrap(spark, sf_dir):
@@ -196,7 +196,7 @@ pairs as (select a.gas, a.gap_hours, 'PAIR' as kind, a.method || '-' || b.method
 al as (select * from meth union all select * from pairs), wk as (select gas, gap_hours, kind, who, date_diff('day', date '2022-01-01', run_day) // 30 as block, median(x) as x from al group by 1, 2, 3, 4, 5),
 mem as (select *, row_number() over (partition by gas, gap_hours, kind, who order by block) - 1 as draw, count(*) over (partition by gas, gap_hours, kind, who) as size from wk),
 dr as (select gas, gap_hours, kind, who, size, rep, slot, ('0x' || substr(sha256('inference|' || gas || '|' || gap_hours::varchar || '|' || kind || '|' || who || '|' || rep::varchar || '|' || slot::varchar), 1, 15))::bigint % size as draw
-  from (select distinct gas, gap_hours, kind, who, size from mem), (select unnest(range(40)) rep), (select unnest(range(20)) slot) where slot < size),
+  from (select distinct gas, gap_hours, kind, who, size from mem), (select unnest(range({s.BLOCKS})) rep), (select unnest(range(20)) slot) where slot < size),
 st as (select dr.gas, dr.gap_hours, dr.kind, dr.who, dr.size, rep, median(x) as stat from dr join mem using (gas, gap_hours, kind, who, draw) group by 1, 2, 3, 4, 5, 6)"""
 
 
