@@ -19,6 +19,8 @@ MIN_WORDS = 12
 SEED = 8
 #: A pair goes to alignment if it has so many hits and so many of some MIN_WORDS consecutive words are mostly covered by them.
 LEAST_HITS, SUPPORTED = 16, 9
+#: On a page where passages were found, a further one must have so many hits that they don't explain, unless it shares MIN_WORDS words with one of them.
+OWN_HITS = 12
 #: Symbols per index.
 SHARD_SYMBOLS = 1_000_000
 #: Passages are searched in blocks of at most so many characters; each block is one broadcast and one scan.
@@ -29,9 +31,11 @@ TASK_LINE_ITEMS = 3
 #: Share of a word's symbols that must be matched for the word to count as shown.
 MIN_SHOWN = 0.65
 #: Symbols around the supported words of a passage and around a phrase hit of a page that are aligned, at first and in full,
-FIRST_MARGINS, MARGINS = (4, 32), (8 * MIN_WORDS, 8 * MIN_WORDS)
+FIRST_MARGINS, MARGINS = (4, 32), (48, 48)
 #: and the longest stretch, in passages, aligned at once.
 STRETCH = 24
+#: Page symbols per block of the jump rule; all jumps that long or longer are found, and shorter ones don't pay.
+BLOCK = 8
 #: Cells of a row of the score tables that are filled together; such rows stay in a core's cache.
 CELLS = 200_000
 MATCH, MISMATCH, GAP, ADVERT = 2, -3, 3, 40
@@ -88,6 +92,11 @@ class PhraseBook:
                 if same is not p:
                     same.items.append(i)
         self.passages = list(made.values())
+        self.symbols = np.array([len(p.symbols) for p in self.passages], int)
+        self.words = np.array([len(p.length) for p in self.passages], int)
+        self.first_word = np.cumsum(self.words) - self.words
+        self.word_start = np.concatenate([p.starts for p in self.passages]) if self.passages else np.zeros(0, int)
+        self.word_length = np.concatenate([p.length for p in self.passages]) if self.passages else np.zeros(0, int)
         windows, owner, offset = [], [], []
         for k, p in enumerate(self.passages):
             w = np.lib.stride_tricks.sliding_window_view(p.symbols, SEED)
@@ -115,7 +124,7 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
         n = len(pairs[order[-1]][1])
         take = 0
         for k in reversed(order):
-            if take and ((take + 1) * n > CELLS or 4 * len(pairs[k][1]) < 3 * n):
+            if take and ((take + 1) * n > CELLS or 2 * len(pairs[k][1]) < n):
                 break
             take += 1
         chosen, order = order[len(order) - take:], order[:len(order) - take]
@@ -126,33 +135,34 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
 
 def _align_batch(pairs: list[tuple[np.ndarray, np.ndarray]], m: int, n: int) -> np.ndarray:
     count = len(pairs)
+    n = -(-n // BLOCK) * BLOCK
     p, t = np.zeros((m, count), np.uint8), np.full((n, count), PAGE_END, np.uint8)  # what fills up matches nothing
     for k, (x, y) in enumerate(pairs):
         p[:len(x), k], t[:len(y), k] = x, y
     kind = np.int16 if ADVERT + MATCH * m < 30_000 else np.int32
     h = np.zeros((m + 1, n + 1, count), kind)  # pairs lie side by side, so that shifts along a page are whole stretches of memory
-    a, b, same = np.empty((n + 1, count), kind), np.empty((n + 1, count), kind), np.empty((n, count), bool)
-    gap, advert = kind(GAP), kind(ADVERT)
-    shifts = [1 << e for e in range(n.bit_length())]
+    a, same = np.empty((n + 1, count), kind), np.empty((n, count), bool)
+    gap, advert, gain = kind(GAP), kind(ADVERT), kind(MATCH - MISMATCH)
     for i in range(m):
         prev, row = h[i], h[i + 1]
         np.equal(t, p[i], out=same)
-        np.multiply(same, kind(MATCH - MISMATCH), out=row[1:], casting="unsafe")
-        np.add(row[1:], kind(MISMATCH), out=row[1:])
-        np.add(row[1:], prev[:-1], out=row[1:])
+        np.add(prev[:-1], kind(MISMATCH), out=row[1:])
+        np.multiply(same.view(np.int8), gain, out=a[1:])
+        np.add(row[1:], a[1:], out=row[1:])
         np.subtract(prev, gap, out=a)
         np.maximum(row, a, out=row)
         np.maximum(row, 0, out=row)
-        a[:] = row
-        for s in shifts:  # best score so far to the left
-            np.maximum(a[s:], a[:-s], out=b[s:])
-            b[:s] = a[:s]
-            a, b = b, a
-        for s in (1, 2, 4, 8):  # gaps of up to 15, beyond which a jump is cheaper
-            np.subtract(row[:-s], kind(GAP * s), out=b[s:])
-            np.maximum(row[s:], b[s:], out=row[s:])
-        np.subtract(a, advert, out=a)
-        np.maximum(row, a, out=row)
+        for s in (1, 2, 4):  # gaps of up to 7 at once
+            np.subtract(row[:-s], kind(GAP * s), out=a[s:])
+            np.maximum(row[s:], a[s:], out=row[s:])
+        # a jump over a block's length or more: best score of all blocks before
+        best = row[:-1].reshape(n // BLOCK, BLOCK, count)
+        while best.shape[1] > 1:
+            half = best.shape[1] // 2
+            best = np.maximum(best[:, :half], best[:, half:])
+        best = np.maximum.accumulate(best[:, 0], axis=0)
+        ahead = row[BLOCK:-1].reshape(n // BLOCK - 1, BLOCK, count)
+        np.maximum(ahead, (best[:-1] - advert)[:, None, :], out=ahead)
     at = np.full((count, m), -1)
     i = h.max(axis=1).argmax(axis=0)
     j = np.array([h[y, :, k].argmax() for k, y in enumerate(i)], int)
@@ -211,17 +221,32 @@ def longest_run(passage: Passage, at: np.ndarray) -> tuple[int, int, int]:
     return best, best_end - best + 1, best_end
 
 
-def _supported(passage: Passage, offsets: np.ndarray) -> tuple[int, int] | None:
-    """First and last symbol of the MIN_WORDS-word windows of which phrase hits mostly cover SUPPORTED words; None if there is none."""
-    covered = np.zeros(len(passage.symbols), bool)
-    covered[(offsets[:, None] + np.arange(SEED)).ravel()] = True
-    mostly = np.add.reduceat(covered, passage.starts, dtype=np.int32) * 2 >= passage.length
+def _spans(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, value) of first[i], first[i] + 1, ... size[i] of them, for all i laid end to end."""
+    which = np.repeat(np.arange(len(size)), size)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(size) - size - first, size)
+
+
+def _supported(book: PhraseBook, owner: np.ndarray, starts: np.ndarray, stops: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which pairs of a page and passage ``owner`` with hits starts:stops are supported, and first and last symbol of the words that support them.
+
+    Support is a window of MIN_WORDS words of which phrase hits mostly cover SUPPORTED.
+    """
+    symbols, words = book.symbols[owner], book.words[owner]
+    base = np.cumsum(symbols) - symbols
+    covered = np.zeros(int(symbols.sum()), bool)
+    which, row = _spans(starts, stops - starts)
+    covered[((base[which] + offset[row])[:, None] + np.arange(SEED)).ravel()] = True
+    which, word = _spans(book.first_word[owner], words)
+    first, length = base[which] + book.word_start[word], book.word_length[word]
+    mostly = np.add.reduceat(covered, first, dtype=np.int32) * 2 >= length
     c = np.concatenate([[0], np.cumsum(mostly)])
-    good = np.flatnonzero(c[MIN_WORDS:] - c[:-MIN_WORDS] >= SUPPORTED)
-    if not len(good):
-        return None
-    last = good[-1] + MIN_WORDS - 1
-    return int(passage.starts[good[0]]), int(passage.starts[last] + passage.length[last]) - 1
+    at, start = _spans(np.cumsum(words) - words, words - MIN_WORDS + 1)
+    good = np.flatnonzero(c[start + MIN_WORDS] - c[start] >= SUPPORTED)
+    pairs, begin = np.unique(at[good], return_index=True)
+    end = np.concatenate([begin[1:], [len(good)]]) - 1
+    last = start[good[end]] + MIN_WORDS - 1 if len(good) else begin
+    return pairs, first[start[good[begin]]] - base[pairs], first[last] + length[last] - 1 - base[pairs]
 
 
 def search_shard(book: PhraseBook, pages: list[tuple[int, np.ndarray]]) -> list[tuple[int, int, int, np.ndarray]]:
@@ -244,24 +269,46 @@ def search_shard(book: PhraseBook, pages: list[tuple[int, np.ndarray]]) -> list[
     starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, int)
     stops = np.concatenate([starts[1:], [len(pair)]])
     enough = np.flatnonzero(stops - starts >= LEAST_HITS)
-    tries = []
-    for x, y in zip(starts[enough], stops[enough]):
-        page_no, passage = int(pair[x] // many), book.passages[int(pair[x] % many)]
-        window = _supported(passage, offset[x:y])
-        if window is not None:
-            tries.append((page_no, passage, position[x:y] - (ends[page_no] - lengths[page_no]), offset[x:y], window))
-    # what MIN_WORDS words can stand on is aligned first, then what passed is aligned in full
+    if not len(enough):
+        return []
+    starts, stops = starts[enough], stops[enough]
+    owners, page_of = pair[starts] % many, pair[starts] // many
+    some, a, b = _supported(book, owners, starts, stops, offset)
+    waiting: dict[int, list[tuple]] = {}
+    for x, first, last in sorted(zip(some.tolist(), a.tolist(), b.tolist()), key=lambda w: starts[w[0]] - stops[w[0]]):  # most hits first
+        page_no, at, off = int(page_of[x]), position[starts[x]:stops[x]], offset[starts[x]:stops[x]]
+        waiting.setdefault(page_no, []).append((page_no, book.passages[int(owners[x])], at - (ends[page_no] - lengths[page_no]), off, first, last))
+    # each page's likeliest passage goes first, since those that merely resemble it need no look once it is found
+    cases: dict[int, list[tuple[Passage, int, np.ndarray]]] = {}
+    for wave in (slice(0, 1), slice(1, 2), slice(2, None)):
+        open_ = [c for w in waiting.values() for c in w[wave] if _own(c, cases.get(c[0], []))]
+        for c, words, used in _whole(open_ if wave.start == 0 else _near(open_, pages), pages):
+            cases.setdefault(c[0], []).append((c[1], words, used))
+    return [(page_no, item, words, used) for page_no, found in cases.items() for passage, words, used in _apart(found) for item in passage.items]
+
+
+def _own(candidate: tuple, cases: list) -> bool:
+    _, passage, at, off, a, b = candidate
+    if not cases or any(passage.runs & c[0].runs for c in cases):
+        return True
+    return len(np.setdiff1d(at[(off >= a) & (off < b)], np.concatenate([c[2] for c in cases]))) >= OWN_HITS
+
+
+def _near(candidates: list[tuple], pages: list[tuple[int, np.ndarray]]) -> list[tuple]:
+    """The candidates that show MIN_WORDS words where they are supported; nowhere else could they."""
     near = []
-    for page_no, passage, at, off, (a, b) in tries:
+    for page_no, passage, at, off, a, b in candidates:
         inside = (off >= a) & (off + SEED <= b + 1)
         near.append((page_no, passage, at[inside], max(0, a - FIRST_MARGINS[0]), min(len(passage.symbols), b + 1 + FIRST_MARGINS[0]), FIRST_MARGINS[1]))
-    passed = [t for t, (words, _) in zip(tries, _judge(near, pages)) if words >= MIN_WORDS]
-    full = [(page_no, passage, at, max(0, int(off.min()) - MARGINS[0]), min(len(passage.symbols), int(off.max()) + SEED + MARGINS[0]), MARGINS[1]) for page_no, passage, at, off, _ in passed]
-    cases: dict[int, list[tuple[Passage, int, np.ndarray]]] = {}
-    for (page_no, passage, *_), (words, used) in zip(passed, _judge(full, pages)):
+    return [c for c, (words, _) in zip(candidates, _judge(near, pages)) if words >= MIN_WORDS]
+
+
+def _whole(candidates: list[tuple], pages: list[tuple[int, np.ndarray]]) -> Iterator[tuple[tuple, int, np.ndarray]]:
+    """The candidates that show MIN_WORDS words, with their longest stretch."""
+    full = [(c[0], c[1], c[2], max(0, int(c[3].min()) - MARGINS[0]), min(len(c[1].symbols), int(c[3].max()) + SEED + MARGINS[0]), MARGINS[1]) for c in candidates]
+    for c, (words, used) in zip(candidates, _judge(full, pages)):
         if words >= MIN_WORDS:
-            cases.setdefault(page_no, []).append((passage, words, used))
-    return [(page_no, item, words, used) for page_no, some in cases.items() for passage, words, used in _apart(some) for item in passage.items]
+            yield c, words, used
 
 
 def _judge(tries: list[tuple[int, Passage, np.ndarray, int, int, int]], pages: list[tuple[int, np.ndarray]]) -> list[tuple[int, np.ndarray]]:
