@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skytally.operators.skew import previous
+
 METHODS = ("linear", "pchip", "local_level_kalman", "seasonal_median", "seasonal_residual_linear")
 
 
@@ -67,16 +69,23 @@ def seasonal_residual_linear(df: DataFrame, key: list[str], at: str, season: str
     return d.withColumn(out, F.coalesce(F.col(value), F.col("_m") + F.col("_f"))).drop("_m", "_r", "_f")
 
 
-def _forward(x: np.ndarray, q: float, r: float, start: float) -> np.ndarray:
-    state, var, out = start, 100 * r, np.empty(len(x))
-    for i, z in enumerate(x):
-        var += q
-        if z == z:
-            gain = var / (var + r)
-            state += gain * (z - state)
-            var *= 1 - gain
-        out[i] = state
-    return out
+def _filtered(x: np.ndarray, q: float, r: float, start: float) -> np.ndarray:
+    """Level of a random walk of step variance q seen with variance r, from the past alone.
+
+    The variances don't depend on the values, so the weight of each is found first (it
+    settles after a few readings, and starts anew behind each gap) and the levels follow.
+    """
+    seen = np.isfinite(x)
+    at = np.flatnonzero(seen)
+    weight, spread, before = np.empty(len(at)), 100 * r, -1
+    for k, i in enumerate(at.tolist()):
+        prior = spread + (i - before) * q
+        weight[k], spread, before = prior / (prior + r), prior * r / (prior + r), i
+    levels = np.empty(len(at) + 1)
+    levels[0] = start
+    for k, (w, z) in enumerate(zip(weight.tolist(), x[at].tolist())):
+        levels[k + 1] = (1 - w) * levels[k] + w * z
+    return levels[np.cumsum(seen)]
 
 
 def kalman_level(x: np.ndarray) -> np.ndarray:
@@ -86,7 +95,7 @@ def kalman_level(x: np.ndarray) -> np.ndarray:
         return x
     spread = float(np.var(np.diff(known))) if len(known) > 1 else 0.0
     q, r, start = max(0.05 * spread, 1e-8), max(0.5 * spread, 1e-8), float(np.median(known))
-    return (_forward(x, q, r, start) + _forward(x[::-1], q, r, start)[::-1]) / 2
+    return (_filtered(x, q, r, start) + _filtered(x[::-1], q, r, start)[::-1]) / 2
 
 
 def local_level_kalman(df: DataFrame, key: list[str], at: str, value: str, out: str = "fill") -> DataFrame:
@@ -117,9 +126,9 @@ def one_hour_fill(df: DataFrame, key: str, at: str, value: str) -> DataFrame:
     Works from the known rows alone: a missing single step shows as a step of two, so no
     dense grid is built.
     """
-    w = Window.partitionBy(key).orderBy(at)
     known = df.where(F.col(value).isNotNull()).select(key, at, value)
-    holes = known.withColumns({"_p": F.lag(at).over(w), "_v": F.lag(value).over(w)}).where(F.col(at) - F.col("_p") == 2)
+    before = previous(known, key, F.floor(F.col(at) / 4096).cast("long"), [at], [at, value], "_b")
+    holes = before.select(key, at, value, F.col(f"_b.{at}").alias("_p"), F.col(f"_b.{value}").alias("_v")).where(F.col(at) - F.col("_p") == 2)
     filled = holes.select(key, (F.col(at) - 1).alias(at), ((F.col(value) + F.col("_v")) / 2).alias(value), F.lit(True).alias("filled"))
     return known.withColumn("filled", F.lit(False)).unionByName(filled)
 

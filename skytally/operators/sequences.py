@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skytally.operators.skew import positions, previous, running_sum
+
+#: Steps per bucket in which the rows of a key of any size are numbered.
+BUCKET = 4096
+
 
 def islands_by_step(df: DataFrame, key: list[str], at: str, step: int = 1, out: str = "run") -> DataFrame:
     """Number the runs in which ``at`` rises by exactly ``step``: value minus row number is constant inside one."""
@@ -12,20 +17,28 @@ def islands_by_step(df: DataFrame, key: list[str], at: str, step: int = 1, out:
     return df.withColumn(out, F.col(at) - step * F.row_number().over(w))
 
 
-def islands_by_change(df: DataFrame, key: list[str], order: list[str], flag: Column, out: str = "run") -> DataFrame:
-    """Number the runs of one value of ``flag`` from 0."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    df = df.withColumn("_f", flag)
-    df = df.withColumn("_c", F.coalesce((F.col("_f") != F.lag("_f").over(w)).cast("long"), F.lit(0)))
-    return df.withColumn(out, F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_f", "_c")
+def _bucket(at: str) -> Column:
+    return F.floor(F.col(at) / BUCKET).cast("long")
+
+
+def long_islands_by_step(df: DataFrame, key: str, at: str, out: str = "run") -> DataFrame:
+    """islands_by_step for keys of any size: rows are numbered through buckets, so none has to fit a task."""
+    return positions(df, key, _bucket(at), [at], "_pos").withColumn(out, F.col(at) - F.col("_pos") - 1).drop("_pos")
+
+
+def islands_by_change(df: DataFrame, key: str, at: str, flag: Column, out: str = "run") -> DataFrame:
+    """Number the runs of one value of ``flag`` from 0, in order of ``at``, for keys of any size."""
+    d = previous(df.withColumn("_f", flag), key, _bucket(at), [at], ["_f"], "_p")
+    d = d.withColumn("_c", F.coalesce((F.col("_f") != F.col("_p._f")).cast("long"), F.lit(0)))
+    return running_sum(d, key, _bucket(at), [at], "_c", "_before").withColumn(out, F.col("_before") + F.col("_c")).drop("_f", "_p", "_c", "_before")
 
 
 def longest_segment(df: DataFrame, key: str, at: str, limit: int) -> DataFrame:
     """Rows of each key's longest run of unit steps, the first on ties, cut to its centred ``limit`` rows, with ``pos`` from 0.
 
-    Runs are found from run ends, so only their lengths, not their rows, meet in one window.
+    Rows are numbered through buckets and runs then meet as sums, so no key has to fit a task.
     """
-    runs = islands_by_step(df, [key], at)
+    runs = long_islands_by_step(df, key, at)
     sizes = runs.groupBy(key, "run").agg(F.count(F.lit(1)).alias("length"), F.min(at).alias("start"))
     best = sizes.groupBy(key).agg(F.max_by(F.struct("start", "length"), F.struct("length", -F.col("start"))).alias("b"))
     best = best.select(key, F.col("b.start").alias("_start"), F.col("b.length").alias("_length"))
@@ -72,6 +85,11 @@ def top_rows(df: DataFrame, key: list[str], order: list, n: int) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
 
 
+def head_rows(df: DataFrame, key: str, bucket: Column, order: list, n: int) -> DataFrame:
+    """top_rows for keys of any size: rows are numbered through buckets, see skew.positions."""
+    return positions(df, key, bucket, order, "_pos").where(F.col("_pos") < n).withColumn("rn", (F.col("_pos") + 1).cast("int")).drop("_pos")
+
+
 def farthest_points(sites: DataFrame, key: str, name: str, lat: str, lon: str, weight: str, n: int) -> DataFrame:
     """Greedy spread of n sites per key.
 

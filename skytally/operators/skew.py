@@ -57,6 +57,19 @@ def running_sum(df: DataFrame, key: str, bucket: Column, order: list[str], value
     return summed.join(starts, [key, "_bucket"]).withColumn(out, F.col("_start") + F.col("_in")).drop("_bucket", "_start", "_in")
 
 
+def previous(df: DataFrame, key: str, bucket: Column, order: list[str], columns: list[str], out: str = "prev") -> DataFrame:
+    """Add the struct ``out`` of ``columns`` of the row before (null for a key's first), without sorting a key in one task; see positions.
+
+    Inside a bucket the row before is a lag; a bucket's first row takes the last one of the bucket before it.
+    """
+    df = df.withColumn("_bucket", bucket)
+    last = df.groupBy(key, "_bucket").agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_last"))
+    carry = last.select(key, "_bucket", F.lag("_last").over(Window.partitionBy(key).orderBy("_bucket")).alias("_carry"))
+    inside = Window.partitionBy(key, "_bucket").orderBy(*order)
+    return (df.withColumn(out, F.lag(F.struct(*columns)).over(inside)).join(carry, [key, "_bucket"])
+            .withColumn(out, F.coalesce(out, "_carry")).drop("_bucket", "_carry"))
+
+
 def blocks_with_halo(df: DataFrame, pos: str, rows: int, halo: int) -> DataFrame:
     """Cut numbered rows into blocks of ``rows`` and lend each block ``halo`` rows of both neighbours.
 

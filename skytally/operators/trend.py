@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +32,22 @@ def sen_slope(df: DataFrame, key: list[str], mo: str, value: str, same_month: bo
     return pairs(df, key, mo, value, same_month).groupBy(*key).agg(F.median(F.col("dy") / F.col("dx")).alias("slope"), F.count(F.lit(1)).alias("n_pairs"))
 
 
+def sen_by_key(df: DataFrame, key: str, at: str, value: str, per_year: float) -> DataFrame:
+    """(key, n_pairs, slope): median slope per year over all pairs of a key's daily values.
+
+    A key has at most one row a day, a few thousand in all, so its pairs are formed inside
+    its task, a row at a time; no pair is shuffled.
+    """
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(at)
+        x, y = pdf[at].to_numpy(float), pdf[value].to_numpy(float)
+        slopes = [(y[i + 1:] - y[i]) / ((x[i + 1:] - x[i]) / per_year) for i in range(len(x) - 1)]
+        n = len(x) * (len(x) - 1) // 2
+        return pd.DataFrame({key: pdf[key].iloc[:1], "n_pairs": [n], "slope": [float(np.median(np.concatenate(slopes))) if n else None]})
+
+    return df.select(key, at, value).groupBy(key).applyInPandas(run, f"`{key}` {dict(df.dtypes)[key]}, n_pairs long, slope double")
+
+
 def sen_interval(df: DataFrame, key: list[str], mo: str, value: str) -> DataFrame:
     """Sen slope with its 95 % rank bounds. Slopes of one key number n(n-1)/2 of its months; ranks come from a window over them."""
     p = pairs(df, key, mo, value, False).withColumn("s", F.col("dy") / F.col("dx"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skytally.functions import columns as fx
 from skytally.operators import cohort, diff
-from skytally.operators.sequences import farthest_points, top_rows
+from skytally.operators.sequences import farthest_points, head_rows, top_rows
 from skytally.operators.skew import join_dimension
 from skytally.plans.domain import monthly, monthly_sql
 from skytally.session import prepare
@@ -260,9 +260,11 @@ def d32_reasons(spark, sf_dir):
     return d.select(F.when(~F.col("hourly"), "NOT_HOURLY").when(~F.col("accessible"), "LOCKED").when(F.col("station_status").isNull(), "STATUS_UNKNOWN").otherwise(F.col("station_status")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""select record_id, row_id, rn from (select record_id, row_id, row_number() over (partition by record_id order by timestamp_utc nulls last, row_id) rn from obs_parsed) where rn <= 100""")
+@query("""select record_id, row_id, rn from (select record_id, row_id, row_number() over (partition by record_id order by timestamp_utc nulls last, row_id) rn from obs_parsed) where rn <= 30000""")
 def f02_head_n(spark, sf_dir):
-    return top_rows(_t(spark, sf_dir, "obs_parsed"), ["record_id"], [F.asc_nulls_last("timestamp_utc"), "row_id"], 100).select("record_id", "row_id", "rn")
+    obs = _t(spark, sf_dir, "obs_parsed").select("record_id", "row_id", "timestamp_utc")
+    sixteen_days = F.coalesce(F.floor(F.unix_micros("timestamp_utc") / (16 * 86_400_000_000)).cast("long"), F.lit(2**62))
+    return head_rows(obs, "record_id", sixteen_days, [F.asc_nulls_last("timestamp_utc"), "row_id"], 30_000).select("record_id", "row_id", "rn")
 
 
 @query("""select record_id, timestamp_source, row_id, line_no from (select *, row_number() over (partition by record_id, timestamp_source order by line_no, row_id) rn from obs_incoming) where rn = 1""")

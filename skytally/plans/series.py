@@ -62,7 +62,7 @@ def e04_group_median(spark, sf_dir):
 r as (select *, sum(ch) over (partition by record_id order by h) run from f)
 select record_id, run::bigint as run, min(h) as first_h, count(*) as hours, bool_or(twice) as twice from r group by 1, 2""")
 def e05_change_islands(spark, sf_dir):
-    d = seq.islands_by_change(hourly(spark, sf_dir), ["record_id"], ["h"], F.col("n") > 1)
+    d = seq.islands_by_change(hourly(spark, sf_dir), "record_id", "h", F.col("n") > 1)
     return d.groupBy("record_id", "run").agg(F.min("h").alias("first_h"), F.count(F.lit(1)).alias("hours"), F.bool_or(F.col("n") > 1).alias("twice"))
 
 
@@ -71,7 +71,7 @@ _ISLAND = "i as (select *, h - row_number() over (partition by record_id order b
 
 @query(f"with {HOURLY}, {_ISLAND} select record_id, min(h) as first_h, max(h) as last_h, count(*) as hours from i group by record_id, run")
 def e06_islands(spark, sf_dir):
-    d = seq.islands_by_step(hourly(spark, sf_dir), ["record_id"], "h")
+    d = seq.long_islands_by_step(hourly(spark, sf_dir), "record_id", "h")
     return d.groupBy("record_id", "run").agg(F.min("h").alias("first_h"), F.max("h").alias("last_h"), F.count(F.lit(1)).alias("hours")).drop("run")
 
 
@@ -322,13 +322,14 @@ def d16_metrics(spark, sf_dir):
 
 
 @query(f"""with {_REVIEW} select record_id, count(*) filter (flag and truth) as both, count(*) filter (flag <> truth) as differing, round(count(*) filter (flag) / count(*), 9) as flag_share,
-  sha256(string_agg(case when flag then '1' else '0' end, '' order by h)) as mask from rev group by 1""")
+  sum(('0x' || substr(sha256(h::varchar || case when flag then '|1' else '|0' end), 1, 10))::bigint)::bigint as mask from rev group by 1""")
 def d21_review_flags(spark, sf_dir):
     d = _review(spark, sf_dir)
     return d.groupBy("record_id").agg(
         F.sum((F.col("flag") & F.col("truth")).cast("long")).alias("both"), F.sum((F.col("flag") != F.col("truth")).cast("long")).alias("differing"),
         F.round(F.avg(F.col("flag").cast("double")), 9).alias("flag_share"),
-        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("h", F.when(F.col("flag"), "1").otherwise("0").alias("b")))), lambda x: x["b"]), ""), 256).alias("mask"))
+        # the hours' hashes add up to the mask's, so no task holds a record's hours
+        F.sum(F.conv(F.substring(F.sha2(F.concat(F.col("h").cast("string"), F.when(F.col("flag"), "|1").otherwise("|0")), 256), 1, 10), 16, 10).cast("long")).alias("mask"))
 
 
 _PAIRS = """pr as (select a.place, a.gas, a.mo as m0, b.mo as m1, b.mean - a.mean as dy, (b.mo - a.mo) / 12.0::double as dx from monthly a join monthly b on a.place = b.place and a.gas = b.gas and a.mo < b.mo {same})"""
@@ -593,19 +594,29 @@ def j05_block_bootstrap(spark, sf_dir):
     return d.select("gas", "method", "reps", "size", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@query(f"""with {monthly_sql()}, {_DECOMP}, i as (select place, gas, mo, mo - row_number() over (partition by place, gas order by mo) run from dec), rr as (select place, gas, run, min(mo) a, max(mo) b from i group by 1, 2, 3),
-bl as (select place, gas, s0, row_number() over (partition by place, gas order by s0) - 1 as draw from (select place, gas, unnest(range(a, b - 12 + 2)) s0 from rr where b - a + 1 >= 12)), bs as (select place, gas, count(*) size from bl group by 1, 2),
+_SAMPLES = f"""{monthly_sql()}, {_DECOMP}, i as (select place, gas, mo, mo - row_number() over (partition by place, gas order by mo) run from dec), rr as (select place, gas, run, min(mo) a, max(mo) b from i group by 1, 2, 3),
+  bl as (select place, gas, s0, row_number() over (partition by place, gas order by s0) - 1 as draw from (select place, gas, unnest(range(a, b - 12 + 2)) s0 from rr where b - a + 1 >= 12)), bs as (select place, gas, count(*) size from bl group by 1, 2),
 pl as (select place, gas, run, mo, (row_number() over w - 1) % 12 as inside, (row_number() over w - 1) // 12 as chunk from i window w as (partition by place, gas, run order by mo)),
 ch as (select place, gas, run, chunk, min(mo) cs from pl group by 1, 2, 3, 4),
 dr as (select ch.*, rep, ('0x' || substr(sha256('trend|' || place || '|' || gas || '|' || rep::varchar || '|' || cs::varchar), 1, 15))::bigint % size as draw from ch join bs using (place, gas), (select unnest(range({TRENDS})) rep)),
-tg as (select pl.place, pl.gas, dr.rep, pl.mo, bl.s0 + pl.inside as src from pl join dr using (place, gas, run, chunk) join bl on bl.place = dr.place and bl.gas = dr.gas and bl.draw = dr.draw)
-select tg.place, tg.gas, tg.rep, tg.mo, round(dec.residual, 3) as sample from tg join dec on dec.place = tg.place and dec.gas = tg.gas and dec.mo = tg.src""")
-def j03_moving_block(spark, sf_dir):
+tg as (select pl.place, pl.gas, dr.rep, pl.mo, bl.s0 + pl.inside as src from pl join dr using (place, gas, run, chunk) join bl on bl.place = dr.place and bl.gas = dr.gas and bl.draw = dr.draw),
+sm as (select tg.place, tg.gas, tg.rep, tg.mo, dec.residual as sample from tg join dec on dec.place = tg.place and dec.gas = tg.gas and dec.mo = tg.src)"""
+
+
+def moving_blocks(spark, sf_dir):
+    """Every replicate's residual of every month."""
     r = cut(trend.decompose(monthly(spark, sf_dir), ["place", "gas"], "mo", "mean"))
     d = resample.moving_block_sample(r, ["place", "gas"], "mo", "residual", 12, TRENDS, "trend")
     return d.select("place", "gas", F.col("rep").cast("long").alias("rep"), "mo", F.round("sample", 3).alias("sample"))
 
 
+@query(f"""with {_SAMPLES} select place, gas, mo, count(*) as reps, count(distinct round(sample, 3)) as samples, min(round(sample, 3)) as lowest, max(round(sample, 3)) as highest, round(median(round(sample, 3)) + 1.2345e-7, 3) as middle from sm group by 1, 2, 3""")
+def j03_moving_block(spark, sf_dir):
+    """The replicates of each month, of which moving_blocks has the rows, summed up."""
+    return moving_blocks(spark, sf_dir).groupBy("place", "gas", "mo").agg(
+        F.count(F.lit(1)).alias("reps"), F.countDistinct("sample").alias("samples"), F.min("sample").alias("lowest"), F.max("sample").alias("highest"), F.round(F.median("sample") + 1.2345e-7, 3).alias("middle"))
+
+
 def _trend_bootstrap(spark, sf_dir, count: int = TRENDS):
     dec = cut(trend.decompose(monthly(spark, sf_dir), ["place", "gas"], "mo", "mean"))
     sample = resample.moving_block_sample(dec, ["place", "gas"], "mo", "residual", 12, count, "trend")
@@ -613,7 +624,13 @@ def _trend_bootstrap(spark, sf_dir, count: int = TRENDS):
     return trend.sen_slope(pseudo, ["place", "gas", "rep"], "mo", "y", True), dec
 
 
-@query()
+_SLOPES = f"""{_SAMPLES}, ps as (select sm.place, sm.gas, rep, sm.mo, fitted + seasonal + sample as y from sm join dec on dec.place = sm.place and dec.gas = sm.gas and dec.mo = sm.mo),
+rs as (select a.place, a.gas, a.rep, median((b.y - a.y) / ((b.mo - a.mo) / 12.0::double)) as slope from ps a join ps b on a.place = b.place and a.gas = b.gas and a.rep = b.rep and a.mo % 12 = b.mo % 12 and a.mo < b.mo group by 1, 2, 3)"""
+
+
+@query(f"""with {_SLOPES}, q as (select place, gas, quantile_cont(slope, 0.025) lo, quantile_cont(slope, 0.975) hi, stddev_samp(slope) sd from rs group by 1, 2)
+select place, gas, round(sl.slope, 3) as estimate, round(lo, 3) as low, round(hi, 3) as high, round(2 * sl.slope - hi, 3) as basic_low, round(2 * sl.slope - lo, 3) as basic_high,
+  round(sl.slope - 1.959963984540054 * sd, 3) as normal_low, round(sl.slope + 1.959963984540054 * sd, 3) as normal_high from q join sl using (place, gas)""")
 def j04_trend_bootstrap(spark, sf_dir):
     slopes, dec = _trend_bootstrap(spark, sf_dir)
     est = trend.sen_slope(dec, ["place", "gas"], "mo", "mean", True).select("place", "gas", F.col("slope").alias("estimate"))
@@ -621,7 +638,13 @@ def j04_trend_bootstrap(spark, sf_dir):
     return d.select("place", "gas", *[F.round(c, 3).alias(c) for c in ("estimate", "low", "high", "basic_low", "basic_high", "normal_low", "normal_high")])
 
 
-@query()
+@query(f"""with {_SLOPES}, ce as (select place, gas, rep, slope - avg(slope) over (partition by place, gas) as error from rs),
+pc as (select place, gas, slope as estimate, row_number() over (partition by gas order by place) - 1 as draw, count(*) over (partition by gas) as size from sl where exists (select 1 from bs where bs.place = sl.place and bs.gas = sl.gas)),
+od as (select gas, rep, slot, ('0x' || substr(sha256('outer|' || gas || '|' || rep::varchar || '|' || slot::varchar), 1, 15))::bigint % size as draw,
+  ('0x' || substr(sha256('inner|' || gas || '|' || rep::varchar || '|' || slot::varchar), 1, 15))::bigint % {TRENDS} as inner_rep
+  from (select distinct gas, size from pc), (select unnest(range({COHORTS})) rep), (select unnest(range(100)) slot) where slot < size),
+st as (select od.gas, od.rep, median(estimate + error) as stat from od join pc on pc.gas = od.gas and pc.draw = od.draw join ce on ce.place = pc.place and ce.gas = pc.gas and ce.rep = od.inner_rep group by 1, 2)
+select gas, count(*) as reps, round(quantile_cont(stat, 0.025), 3) as low, round(quantile_cont(stat, 0.975), 3) as high from st group by 1""")
 def j07_cohort(spark, sf_dir):
     """Two-stage: places are drawn anew and each drawn place brings one of its centred temporal errors; medians per gas."""
     slopes, dec = _trend_bootstrap(spark, sf_dir)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skytally.functions import columns as fx
 from skytally.operators import detect, fill, resample, trend
 from skytally.operators import sequences as seq
+from skytally.operators.skew import previous
 from skytally.plans import series as s
 from skytally.plans.catalogue import _CAND, _GOOD, _candidates
 from skytally.plans.domain import HOURLY, hourly, monthly, monthly_sql
@@ -126,8 +127,8 @@ select record_id, count(*) as n, round(1.4826 * median(abs(d - m)), 6) as noise
 def e11_noise(spark, sf_dir):
     from skytally.operators.rolling import group_median
 
-    w = Window.partitionBy("record_id").orderBy("h")
-    d = hourly(spark, sf_dir).select("record_id", (F.col("v") - F.lag("v").over(w)).alias("d")).where("d is not null")
+    d = previous(hourly(spark, sf_dir).select("record_id", "h", "v"), "record_id", F.floor(F.col("h") / 4096).cast("long"), ["h"], ["v"])
+    d = d.select("record_id", (F.col("v") - F.col("prev.v")).alias("d")).where("d is not null")
     return group_median(d, ["record_id"], "d", "m").groupBy("record_id").agg(F.count(F.lit(1)).alias("n"), F.round(1.4826 * F.median(F.abs(F.col("d") - F.col("m"))), 6).alias("noise"))
 
 
@@ -148,10 +149,9 @@ def f03_highest(spark, sf_dir):
 @query(f"""with {HOURLY}, b as (select record_id, h // 24 as day, avg(v) as a from hourly group by 1, 2), p as (select x.record_id, (y.a - x.a) / ((y.day - x.day) / 365.2425) as sl from b x join b y on x.record_id = y.record_id and x.day < y.day)
 select record_id, count(*) as n_pairs, round(median(sl), 4) as slope from p group by 1 having count(*) >= 3""")
 def h02_daily_sen(spark, sf_dir):
-    d = hourly(spark, sf_dir).groupBy("record_id", F.floor(F.col("h") / 24).alias("day")).agg(F.avg("v").alias("a"))
-    x, y = d.toDF("record_id", "d0", "a0"), d.toDF("record_id", "d1", "a1")
-    p = x.join(y, "record_id").where("d0 < d1").withColumn("sl", (F.col("a1") - F.col("a0")) / ((F.col("d1") - F.col("d0")) / F.lit(365.2425)))
-    return p.groupBy("record_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.median("sl"), 4).alias("slope")).where("n_pairs >= 3")
+    d = hourly(spark, sf_dir).groupBy("record_id", F.floor(F.col("h") / 24).cast("long").alias("day")).agg(F.avg("v").alias("a"))
+    p = trend.sen_by_key(d, "record_id", "day", "a", 365.2425)
+    return p.select("record_id", "n_pairs", F.round("slope", 4).alias("slope")).where("n_pairs >= 3")
 
 
 @query(f"""with {s._COND}, {s._BOOT}, e as (select gas, method, median(rmse) est from cond group by 1, 2)

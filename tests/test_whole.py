@@ -126,7 +126,7 @@ def test_places_are_nations_and_replicates_2000(spark, tmp_path):
     }
     for name, d in tables.items():
         d.to_parquet(tmp_path / f"{name}.parquet")
-    r = series.j03_moving_block(spark, str(tmp_path)).selectExpr("count(distinct place) places", "count(distinct rep) reps", "count(*) n").collect()[0]
+    r = series.moving_blocks(spark, str(tmp_path)).selectExpr("count(distinct place) places", "count(distinct rep) reps", "count(*) n").collect()[0]
     assert (r["places"], r["reps"], r["n"]) == (3, 2000, 3 * 36 * 2000)
     c = series.j07_cohort(spark, str(tmp_path)).collect()[0]
     assert c["reps"] == 2000 and c["low"] < c["high"]
