@@ -517,7 +517,7 @@ def _scores(spark, sf_dir):
     for method in detect.METHODS:
         d = detect.flags_each(h, "record_id", "h", "v", method, detect.KS).join(h.select("record_id", "h", "truth"), ["record_id", "h"])
         d = detect.rates(d.groupBy("record_id", "k").agg(*detect.confusion(F.col("flag"), F.col("truth"))))
-        d = d.select(F.concat(F.lit(f"{method} k="), F.col("k").cast("int").cast("string")).alias("configuration"), "record_id", "f1", "fpr", "recall", "prec")
+        d = d.select(F.concat(F.lit(f"{method} k="), F.col("k").cast("int").cast("string")).alias("configuration"), "record_id", "f1", "fpr", "recall", "prec", "tp", "fp", "fn", "tn")
         out = d if out is None else out.unionByName(d)
     return cut(out)
 
@@ -572,6 +572,36 @@ def d19_leave_one_out(spark, sf_dir):
     return best.join(held, ["fold", "configuration"])
 
 
+@query(f"""with {_score_sql()}, m as (select configuration, split_part(configuration, ' ', 1) as method, split_part(configuration, 'k=', 2)::int as k, round(avg(f1), 9) as f1 from sc group by 1),
+b as (select * from (select *, row_number() over (partition by method order by f1 desc, k) rn from m) where rn = 1)
+select record_id, method, k, tp, fp, fn, tn, tp + fp as flagged from cf join b using (configuration)""")
+def d22_baseline_agreement(spark, sf_dir):
+    """Each detector at its best k against the provider's verdict, per record."""
+    sc = _scores(spark, sf_dir).withColumns({"method": F.substring_index("configuration", " ", 1), "k": F.substring_index("configuration", "k=", -1).cast("int")})
+    best = seq.top_rows(sc.groupBy("method", "k").agg(F.round(F.avg("f1"), 9).alias("f1")), ["method"], [F.desc("f1"), "k"], 1).select("method", "k")
+    return sc.join(best, ["method", "k"]).select("record_id", "method", "k", "tp", "fp", "fn", "tn", (F.col("tp") + F.col("fp")).alias("flagged"))
+
+
+@query(f"""with {_score_sql()}, f as (select substr(record_id, 1, 4) as fold, count(distinct record_id) as records from sc group by 1) select fold, records, (sum(records) over () - records)::bigint as training_records from f""")
+def c14_fold_counts(spark, sf_dir):
+    """Records of each held-out station and of its training set."""
+    f = judged_hours(spark, sf_dir).where("v is not null").groupBy(F.substring("record_id", 1, 4).alias("fold")).agg(F.countDistinct("record_id").alias("records"))
+    total = f.agg(F.sum("records").alias("total"))
+    return f.crossJoin(F.broadcast(total)).select("fold", "records", (F.col("total") - F.col("records")).alias("training_records"))  # one row beside the folds
+
+
+@query(f"""with {REGION}, {_ALL}, t as (select place, gas, median(dy / dx) as slope from pr group by 1, 2 having count(*) >= 3000), cl as (select place, gas, mo % 12 as cm, avg(mean) as clim from monthly group by 1, 2, 3),
+a as (select place, gas, max(clim) - min(clim) as amplitude from cl group by 1, 2 having count(*) >= 8), p as (select place, gas, sum(n)::bigint as n, count(*) as months from monthly group by 1, 2)
+select p.place, p.gas, p.n, p.months, round(slope, 4) as slope, round(amplitude, 4) as amplitude from p left join t using (place, gas) left join a using (place, gas)""")
+def c02_trend_seasonal_product(spark, sf_dir):
+    """Products with their trend (of 3000 pairs of months or more) and seasonal amplitude, where they have one."""
+    m = cut(monthly(spark, sf_dir, "region"))
+    p = m.groupBy("place", "gas").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("months"))
+    t = trend.sen_slope(m, ["place", "gas"], "mo", "mean").where("n_pairs >= 3000").select("place", "gas", F.round("slope", 4).alias("slope"))
+    a = trend.amplitude(m, ["place", "gas"], "mo", "mean").select("place", "gas", F.round("amplitude", 4).alias("amplitude"))
+    return p.join(t, ["place", "gas"], "left").join(a, ["place", "gas"], "left")
+
+
 # J: resampling, with the reference's replicates.
 
 REPETITIONS = 20
@@ -680,7 +710,18 @@ def j01_bootstrap_spearman(spark, sf_dir):
     return d.select("gas", "reps", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@query()
+#: The injected events as SQL, up to ``inj``: key, event, repetition, pos, h, v, injected, truth.
+_INJECT = f"""{HOURLY}, {_SEGMENT}, st as (select *, v - lag(v) over (partition by record_id order by pos) as d from seg),
+md as (select record_id, median(v) mv, median(d) m_d from st group by 1), sc as (select record_id, greatest(1.4826 * median(abs(d - m_d)), 1.4826 * median(abs(v - mv)) * 0.05, 1e-3) as scale, count(*) as len, greatest(20, count(*) // 100) as k from st join md using (record_id) group by 1),
+ev as (select * from (values {", ".join(f"('{e}', {w}, {a}::double, {lo}, {hi})" for e, (w, a, lo, hi) in resample.EVENTS.items())}) t(event, w, a, lo, hi)),
+al as (select seg.record_id, seg.pos, seg.h, seg.v, scale, k, event, w, a, rep as repetition, pos >= lo and pos < len - hi and (event <> 'season_dependent_positive' or month(make_timestamp(h * 3600000000)) in (1, 2, 7, 8)) as inside,
+  sha256('injection|' || seg.record_id || '|' || event || '|' || rep::varchar || '|' || pos::varchar) as hash from seg join sc using (record_id), ev, (select unnest(range(1, {REPETITIONS + 1})) as rep)),
+sp as (select *, (inside and row_number() over (partition by record_id, event, repetition, inside order by hash) <= case when w > 1 then greatest(3, k // 2) else k end)::int as begins from al),
+hits as (select *, case when w > 1 then sum(begins) over (partition by record_id, event, repetition order by pos rows between 5 preceding and current row) else begins end as times from sp),
+inj as (select record_id, event, repetition, pos, h, v, v + times * a * scale as injected, times > 0 as truth from hits)"""
+
+
+@query(f"with {_INJECT} select record_id, event, repetition, pos, v, truth, round(injected, 5) as injected from inj")
 def j09_injection(spark, sf_dir):
     """Five events, each put 20 times into every longest segment; j12 runs the detectors over them."""
     d = _injected(spark, sf_dir)

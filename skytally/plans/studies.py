@@ -217,7 +217,30 @@ def j08_block_inference(spark, sf_dir):
     return out.select(*key, "size", F.when(F.col("size") < 3, "TOO_FEW_BLOCKS").otherwise("INTERVAL").alias("status"), F.round(F.col("low") + 1.2345e-9, 7).alias("low"), F.round(F.col("high") + 1.2345e-9, 7).alias("high"))
 
 
-@query()
+_HODS = "partition by series, h % 24"
+_WINDOW = "(partition by series order by h rows between {0} preceding and {0} following)"
+
+
+def _judged_injections() -> str:
+    """Flags of the twelve configurations over the injected series, and their counts, as SQL."""
+    roll = lambda name, source, x, half, least: (
+        f"{name}c as (select *, case when count({x}) over w >= {least} then median({x}) over w end as centre from {source} window w as {_WINDOW.format(half)}), "
+        f"{name} as (select *, case when count(abs({x} - centre)) over w >= {least} then median(abs({x} - centre)) over w end as scale from {name}c window w as {_WINDOW.format(half)})")
+    parts = []
+    for k in (3, 4, 5):
+        parts += [f"select 'seasonal_mad k={k}' as configuration, series, truth, abs(r) > {k} * greatest(1.4826 * s, 1e-9) as flag from c3",
+                  f"select 'iqr_hour k={k}', series, truth, x < qa - {k} * 0.5 * (qb - qa) - 1e-9 or x > qb + {k} * 0.5 * (qb - qa) + 1e-9 from q3",
+                  f"select 'hampel_7day k={k}', series, truth, coalesce(abs(x - centre) > {k} * greatest(1.4826 * scale, 1e-9), false) from hs",
+                  f"select 'rolling_seasonal_mad k={k}', series, truth, coalesce(abs(r - centre) > {k} * greatest(1.4826 * scale, 1e-9), false) from rs"]
+    return f"""{s._INJECT}, x0 as (select event || '|' || repetition::varchar || '|' || record_id as series, h, injected as x, truth from inj),
+a3 as (select *, x - median(x) over ({_HODS}) r from x0), b3 as (select *, abs(r - median(r) over ({_HODS})) as dev from a3), c3 as (select *, median(dev) over ({_HODS}) s from b3),
+q3 as (select *, quantile_cont(x, 0.25) over ({_HODS}) qa, quantile_cont(x, 0.75) over ({_HODS}) qb from x0), {roll("hs", "x0", "x", 84, 48)}, {roll("rs", "a3", "r", 168, 72)},
+fl as ({" union all ".join(parts)}), cf as (select configuration, series, {s._COUNTS} from fl group by 1, 2),
+pr as (select *, tp + fn > 0 as positive, case when tp + fp > 0 then tp / (tp + fp) else 0 end as prec0, case when tp + fn > 0 then tp / (tp + fn) else 0 end as rec0, case when fp + tn > 0 then fp / (fp + tn) else 0 end as fpr0 from cf)"""
+
+
+@query(f"""with {_judged_injections()} select configuration, split_part(series, '|', 3) as record_id, split_part(series, '|', 1) as event, split_part(series, '|', 2)::int as repetition, case when positive then 'POSITIVE' else 'EMPTY' end as domain,
+  tp, fp, fn, tn, case when positive then round(prec0, 6) end as prec, case when positive then round(rec0, 6) end as recall, case when positive then round(case when prec0 + rec0 > 0 then 2 * prec0 * rec0 / (prec0 + rec0) else 0 end, 6) end as f1, round(fpr0, 6) as fpr from pr""")
 def j12_detector_evaluation(spark, sf_dir):
     """The five injected events against all four detectors at k = 3, 4 and 5, per record, event and repetition.
 
@@ -233,7 +256,7 @@ def j12_detector_evaluation(spark, sf_dir):
         out = d if out is None else out.unionByName(d)
     part = F.split("series", "[|]", 3)
     some = F.col("tp") + F.col("fn") > 0
-    return out.select("configuration", part[2].alias("record_id"), part[0].alias("event"), part[1].cast("int").alias("repetition"), "tp", "fp", "fn", "tn",
+    return out.select("configuration", part[2].alias("record_id"), part[0].alias("event"), part[1].cast("int").alias("repetition"), F.when(some, "POSITIVE").otherwise("EMPTY").alias("domain"), "tp", "fp", "fn", "tn",
                       *[F.round(F.when(some, F.col(c)), 6).alias(c) for c in ("prec", "recall", "f1")], F.round("fpr", 6).alias("fpr"))
 
 
