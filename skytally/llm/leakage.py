@@ -140,18 +140,22 @@ def _align_batch(pairs: list[tuple[np.ndarray, np.ndarray]], m: int, n: int) ->
     for k, (x, y) in enumerate(pairs):
         p[:len(x), k], t[:len(y), k] = x, y
     kind = np.int16 if ADVERT + MATCH * m < 30_000 else np.int32
+    # eight apart, so that the exclusive or of two symbols is 0 or at least MATCH - MISMATCH
+    p_wide, t_wide = p.astype(kind) * 8, t.astype(kind) * 8
     h = np.zeros((m + 1, n + 1, count), kind)  # pairs lie side by side, so that shifts along a page are whole stretches of memory
-    a, same = np.empty((n + 1, count), kind), np.empty((n, count), bool)
-    gap, advert, gain = kind(GAP), kind(ADVERT), kind(MATCH - MISMATCH)
+    a = np.empty((n + 1, count), kind)
+    # whole arrays, as a minimum or maximum with a single number is many times slower
+    none, most = np.zeros((n + 1, count), kind), np.full((n, count), MATCH - MISMATCH, kind)
+    gap, advert = kind(GAP), kind(ADVERT)
     for i in range(m):
         prev, row = h[i], h[i + 1]
-        np.equal(t, p[i], out=same)
-        np.add(prev[:-1], kind(MISMATCH), out=row[1:])
-        np.multiply(same.view(np.int8), gain, out=a[1:])
-        np.add(row[1:], a[1:], out=row[1:])
+        np.bitwise_xor(t_wide, p_wide[i], out=a[1:])
+        np.minimum(a[1:], most, out=a[1:])
+        np.subtract(prev[:-1], a[1:], out=row[1:])
+        np.add(row[1:], kind(MATCH), out=row[1:])
         np.subtract(prev, gap, out=a)
         np.maximum(row, a, out=row)
-        np.maximum(row, 0, out=row)
+        np.maximum(row, none, out=row)
         for s in (1, 2, 4):  # gaps of up to 7 at once
             np.subtract(row[:-s], kind(GAP * s), out=a[s:])
             np.maximum(row[s:], a[s:], out=row[s:])
@@ -165,24 +169,27 @@ def _align_batch(pairs: list[tuple[np.ndarray, np.ndarray]], m: int, n: int) ->
         np.maximum(ahead, (best[:-1] - advert)[:, None, :], out=ahead)
     at = np.full((count, m), -1)
     i = h.max(axis=1).argmax(axis=0)
-    j = np.array([h[y, :, k].argmax() for k, y in enumerate(i)], int)
-    k = np.flatnonzero((i > 0) & (j > 0))
-    while len(k):
-        y, x = i[k], j[k]
-        v = h[y, x, k].astype(int)
-        hit = p[y - 1, k] == t[x - 1, k]
-        diagonal = v == h[y - 1, x - 1, k] + np.where(hit, MATCH, MISMATCH)
-        up = ~diagonal & (v == h[y - 1, x, k] - GAP)
-        left = ~diagonal & ~up & (v == h[y, x - 1, k] - GAP)
-        hit &= diagonal
-        at[k[hit], y[hit] - 1] = x[hit] - 1
-        i[k] -= diagonal | up
-        j[k] -= diagonal | left
-        for q in np.flatnonzero(~(diagonal | up | left)):  # a jump: back to the best score further left
-            back = np.flatnonzero(h[y[q], :x[q], k[q]] == v[q] + ADVERT)
-            j[k[q]] = back[-1] if len(back) else 0
-        k = k[(i[k] > 0) & (j[k] > 0)]
-        k = k[h[i[k], j[k], k] > 0]
+    for k, y in enumerate(i.tolist()):
+        x = int(h[y, :, k].argmax())
+        mine, page, back = p[:, k].tolist(), t[:, k].tolist(), [-1] * m
+        v = h.item(y, x, k)
+        while x > 0 and y > 0 and v > 0:
+            same = mine[y - 1] == page[x - 1]
+            corner = h.item(y - 1, x - 1, k)
+            if v == corner + (MATCH if same else MISMATCH):
+                if same:
+                    back[y - 1] = x - 1
+                y, x, v = y - 1, x - 1, corner
+            elif v == h.item(y - 1, x, k) - GAP:
+                y, v = y - 1, v + GAP
+            elif v == h.item(y, x - 1, k) - GAP:
+                x, v = x - 1, v + GAP
+            else:  # a jump: back to the best score further left
+                from_ = np.flatnonzero(h[y, :x, k] == v + ADVERT)
+                if not len(from_):
+                    break
+                x, v = int(from_[-1]), v + ADVERT
+        at[k] = back
     return at
 
 
@@ -305,7 +312,10 @@ def _near(candidates: list[tuple], pages: list[tuple[int, np.ndarray]]) -> list[
 
 def _whole(candidates: list[tuple], pages: list[tuple[int, np.ndarray]]) -> Iterator[tuple[tuple, int, np.ndarray]]:
     """The candidates that show MIN_WORDS words, with their longest stretch."""
-    full = [(c[0], c[1], c[2], max(0, int(c[3].min()) - MARGINS[0]), min(len(c[1].symbols), int(c[3].max()) + SEED + MARGINS[0]), MARGINS[1]) for c in candidates]
+    full = []
+    for page_no, passage, at, off, a, b in candidates:
+        a, b = max(0, a - MARGINS[0]), min(len(passage.symbols), b + 1 + MARGINS[0])
+        full.append((page_no, passage, at[(off >= a) & (off + SEED <= b)], a, b, MARGINS[1]))
     for c, (words, used) in zip(candidates, _judge(full, pages)):
         if words >= MIN_WORDS:
             yield c, words, used
