@@ -53,9 +53,9 @@ def monthly(spark: SparkSession, sf_dir: str, by: str = "station") -> DataFrame:
     spark = prepare(spark)
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", "o_orderdate", "o_totalprice")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    n = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     place = F.col("n_name" if by == "station" else "r_name")
-    rows = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     day = F.to_date("o_orderdate")
     agg = (rows.groupBy(place.alias("place"), F.col("r_name").alias("region"), F.col("o_orderstatus").alias("gas"), month_ordinal(day).cast("long").alias("mo"))
            .agg(F.count(F.lit(1)).alias("n"), F.countDistinct(day).alias("days"), F.round(F.avg("o_totalprice"), 8).alias("mean")))

@@ -13,13 +13,16 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Pin the session to UTC and give it a checkpoint folder.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a fresh temporary folder is taken.
+    unset (tests on one machine) a fresh temporary folder is taken. A cluster without a
+    shared folder is an error, as its executors couldn't read what another one wrote.
     """
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     return spark
 
