@@ -1,7 +1,10 @@
 """Queries do the whole job: cases that a shortened one gets wrong."""
 
 import hashlib
+import os
+import urllib.parse
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -166,6 +169,27 @@ def test_five_events_in_twenty_repetitions(spark, tmp_path):
     assert j[j["record_id"] == "b"]["f1"].isna().all()
 
 
+def test_copies_of_every_length_are_judged_where_they_are_made(spark, tmp_path):
+    rng, rows = np.random.default_rng(8), []
+    for n in (1, 2, 25, 47, 48, 71, 72, 85, 86, 101, 110, 121, 169, 170, 211, 240, 420, 2500):
+        for kind, v in (("fine", noisy(n, n, 0)[0]), ("coarse", rng.integers(0, 4, n) / 10 + 400), ("flat", np.full(n, 400.0)), ("flat but for few", 400 + (rng.random(n) < 0.03))):
+            start = int(rng.integers(0, 9000))
+            rows += [(f"{kind} {n}", start + i, x, True) for i, x in enumerate(v)]
+    at = obs(tmp_path, rows)
+    stored = urllib.parse.urlparse(spark.sparkContext.getCheckpointDir()).path
+    before = sorted(os.listdir(stored))
+    d = studies.j12_detector_evaluation(spark, at)
+    assert sorted(os.listdir(stored)) == before
+    assert d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") < 12
+    con = duckdb.connect()
+    con.execute("set timezone='UTC'")
+    con.execute(f"create view obs_parsed as select * from '{at}/obs_parsed.parquet'")
+    key = ["configuration", "record_id", "event", "repetition"]
+    got, want = (x.sort_values(key).reset_index(drop=True) for x in (d.toPandas(), con.execute(studies.SQL["j12_detector_evaluation"]).df()))
+    assert len(got) == 18 * 4 * 5 * 20 * 12
+    pd.testing.assert_frame_equal(got, want[got.columns], check_dtype=False, rtol=0, atol=1e-9)
+
+
 def test_gaps_of_seven_lengths_are_placed_and_filled(spark, tmp_path):
     v, _ = noisy(6, 1300, 1)
     at = obs(tmp_path, [("a", h, x, True) for h, x in enumerate(v)] + [("b", h, x, True) for h, x in enumerate(v[:500])])
